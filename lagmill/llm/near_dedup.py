@@ -10,14 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagmill.llm.common import components, materialize
+from lagmill.llm.common import components, discard, materialize
 
 SHINGLE = 5
 COORDS, ROWS = 128, 4
 #: A pair at similarity 0.75 shares none of the 32 bands with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS = COORDS // ROWS
-#: Sketch agreement below which a pair is not verified: 0.75 less 6 standard deviations of the estimate from 128 coordinates.
-LEAST_AGREED = int(COORDS * (0.75 - 6 * (0.75 * 0.25 / COORDS) ** 0.5))
+#: Sketch agreement below which a pair is not verified: 0.75 less 4.5 standard deviations of the estimate from 128 coordinates
+#: (a pair at 0.75 falls below with probability 3e-6, like the banding).
+LEAST_AGREED = int(COORDS * (0.75 - 4.5 * (0.75 * 0.25 / COORDS) ** 0.5))
 BLOCK = 512
 
 _M1, _M2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -117,45 +118,115 @@ def _agree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union of two sorted sets."""
+    if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= 75 * (len(both) - shared)
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs with 100 * intersection >= 75 * union on the full sets."""
+    """Keep the pairs that are similar on the full sets."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= 75 * (len(both) - shared))
-        keep = pa.array(keep, pa.bool_())
+        sets = zip(batch.column(2), batch.column(3), strict=True)
+        keep = pa.array([_similar(*(np.frombuffer(v.as_py(), np.uint64) for v in xy)) for xy in sets], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def _block_pairs(pdf):
-    """Pairs of different components in one block, or between two blocks, of a bucket whose sketches agree often enough."""
-    import pandas as pd
+class _Forest:
+    """Union-find over the components met in one block."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
+
+
+def _block_candidates(pdf):
+    """Positions (p, q), agreement descending, of the pairs of different components in one block, or between two blocks, of a bucket
+    whose sketches agree often enough."""
     s = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(-1, COORDS)
-    ids, comp, block = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
-    left = np.flatnonzero(block == pdf["i"].iat[0])
-    right = np.flatnonzero(block == pdf["j"].iat[0])
-    found = []
+    comp, block = pdf["component"].to_numpy(), pdf["block"].to_numpy()
+    left, right = np.flatnonzero(block == pdf["i"].iat[0]), np.flatnonzero(block == pdf["j"].iat[0])
+    found = [np.empty((0, 3), np.int64)]
     for p in left:
-        q = right[(comp[right] != comp[p]) & (ids[right] != ids[p])]
-        q = q[(s[q] == s[p]).sum(axis=1) >= LEAST_AGREED]
-        found.append(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        q = right[comp[right] != comp[p]]
+        n = (s[q] == s[p]).sum(axis=1)
+        q, n = q[n >= LEAST_AGREED], n[n >= LEAST_AGREED]
+        found.append(np.stack([np.full(len(q), p), q, n], axis=1))
+    found = np.concatenate(found)
+    return found[np.argsort(-found[:, 2], kind="stable"), :2]
+
 
+def _block_forest(pdf):
+    """Of a block's candidates those, best first, that would join its components to a forest: fewer than it has members."""
+    import pandas as pd
+
+    ids, comp, forest = pdf["id"].to_numpy(), pdf["component"].to_numpy(), _Forest()
+    pairs = [(ids[p], ids[q]) for p, q in _block_candidates(pdf) if forest.join(comp[p], comp[q])]
+    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+
+def _block_open(pdf):
+    """The members of a block that have a candidate."""
+    return pdf.iloc[np.unique(_block_candidates(pdf))]
+
+
+def _block_links(pdf):
+    """The candidates of a block that hold on the full sets, without those that join nothing new."""
+    import pandas as pd
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold on the full sets, recomputed for the texts of these ids only."""
-    pairs = materialize(pairs, "nd-pairs")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nd-ids")
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
-    sets = materialize(texts.mapInArrow(_set_batches, "id bigint, full binary"), "nd-sets")
-    full = pairs.join(sets.toDF("a", "full_a"), "a").join(sets.toDF("b", "full_b"), "b")
-    return full.select("a", "b", "full_a", "full_b").mapInArrow(_verify_batches, "a bigint, b bigint").distinct()
+    ids, comp, forest, pairs = pdf["id"].to_numpy(), pdf["component"].to_numpy(), _Forest(), []
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["full"]]
+    for p, q in _block_candidates(pdf):
+        if forest.root(comp[p]) != forest.root(comp[q]) and _similar(sets[p], sets[q]):
+            forest.join(comp[p], comp[q])
+            pairs.append((ids[p], ids[q]))
+    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+
+def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, full: the shingle sets of these documents, recomputed from their texts."""
+    texts = docs.join(ids.toDF("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
+    return materialize(texts.mapInArrow(_set_batches, "id bigint, full binary"), "nd-sets")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sketches don't rule out and that hold on the full sets."""
+    sketched = pairs.join(reps.toDF("a", "sketch_a"), "a").join(reps.toDF("b", "sketch_b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    agreed = materialize(sketched.mapInArrow(_agree_batches, "a bigint, b bigint"), "nd-agreed")
+    ids = materialize(agreed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nd-ids")
+    sets = _full_sets(ids, docs)
+    full = agreed.join(sets.toDF("a", "full_a"), "a").join(sets.toDF("b", "full_b"), "b").select("a", "b", "full_a", "full_b")
+    out = materialize(full.mapInArrow(_verify_batches, "a bigint, b bigint").distinct(), "nd-links")
+    for done in (agreed, ids, sets):
+        discard(done)
+    return out
+
+
+def _open_blocks(members: DataFrame, part: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, dealt to pairs of blocks (key, i, j) of about BLOCK members."""
+    labelled = materialize(members.join(part, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "nd-labelled")
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = (
+        labelled.join(materialize(several, "nd-several"), "key", "left_semi")
+        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    )
+    return dealt.join(reps, "id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -163,9 +234,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of five-word shingles), component_id (smallest doc_id reachable over links of similarity 0.75 or more) and kept.
 
     Equal sets become one class first. Class representatives are sketched and banded. In each bucket every member is compared
-    with the bucket's smallest id, never all pairs; then only buckets that still hold several components compare members of
-    different components, in blocks of bounded size and by sketch, so no link that banding found is lost. Every pair that the
-    sketch doesn't rule out is confirmed on full sets. Nothing is capped.
+    with the bucket's smallest id, never all pairs. Buckets that still hold several components are compared in blocks of bounded
+    size: first a forest of the best-agreeing pairs between components is verified, then, where components remain apart, all their pairs
+    that the sketch doesn't rule out, within the block's task, which returns the links that join something new. So pairs written stay
+    in proportion to members, every link rests on full sets, and none that banding found is lost. Nothing is capped.
 
     Null and empty texts have an empty set, link with nothing and are kept. Rows with a null doc_id link with nothing: their
     component_id is null, kept is true. Repeated rows share their set, hence their component. Other columns are ignored.
@@ -199,34 +271,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     buckets = materialize(buckets.drop("members"), "nd-buckets")
     members = materialize(bands.join(buckets, "key"), "nd-members")
-    tested = materialize(
-        members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "nd-tested"
-    )
-    agreed = (
-        tested.join(reps.toDF("a", "sketch_a"), "a").join(reps.toDF("b", "sketch_b"), "b").select("a", "b", "sketch_a", "sketch_b")
-    ).mapInArrow(_agree_batches, "a bigint, b bigint")
-    links = materialize(_verified(agreed, docs), "nd-links")
+    discard(bands)
+    stars = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = _verified(stars, reps, docs)
     part = materialize(components(links, "a", "b"), "nd-part")
+    larger = members.where("n > 2").drop("leader")
 
-    # What the stars left apart: larger buckets whose members are not yet in one component.
-    labelled = materialize(
-        members.where("n > 2").join(part, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "nd-labelled"
-    )
-    open_keys = materialize(
-        labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key"), "nd-open"
-    )
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    apart = (
-        labelled.join(open_keys, "key", "left_semi")
-        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(reps, "id")
-    )
-    rest = apart.groupBy("key", "i", "j").applyInPandas(_block_pairs, "a bigint, b bigint").distinct()
-    rest = rest.join(tested, ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, docs), "nd-more")
-    final = components(links.unionByName(more), "a", "b") if more.limit(1).count() else part
+    forest = _open_blocks(larger, part, reps).groupBy("key", "i", "j").applyInPandas(_block_forest, "a bigint, b bigint").distinct()
+    links = materialize(links.unionByName(_verified(forest, reps, docs)), "nd-links")
+    part = materialize(components(links, "a", "b"), "nd-part")
+
+    shape = "key bigint, id bigint, component bigint, block int, i int, j int, sketch binary"
+    left = _open_blocks(larger, part, reps).select(*(c.split()[0] for c in shape.split(", ")))
+    left = materialize(left.groupBy("key", "i", "j").applyInPandas(_block_open, shape), "nd-open")
+    sets = _full_sets(left.select("id").distinct(), docs)
+    last = left.join(sets, "id").groupBy("key", "i", "j").applyInPandas(_block_links, "a bigint, b bigint").distinct()
+    last = materialize(last, "nd-last")
+    final = components(links.unionByName(last), "a", "b") if last.limit(1).count() else part
     return (
         rows.join(final, "id", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")))
