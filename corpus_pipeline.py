@@ -1,23 +1,61 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input."""
+"""Corpus pipeline over documents: classify quality, drop near-duplicates and benchmark passages, mix the sources, shard.
+
+Each stage is written as Parquet and reread as the next one's input. Stages join their decisions back by doc_id, which
+names a document here; rows with a null doc_id can't be named and stay, but for the classifier, which scores every row itself.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lagmill.llm.common import materialize, read_table
+from lagmill.llm.decontaminate import contamination
+from lagmill.llm.mixing import mix
 from lagmill.llm.near_dedup import near_duplicates
+from lagmill.llm.quality_classifier import score_column, train
+from lagmill.llm.sharding import shard
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good."""
+    model = train(docs, read_table(spark, sf_dir, "labels"))
+    return docs.select(*COLUMNS).where(score_column(model, F.col("text")) >= 0.5)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each near-duplicate group: the one with the smallest id."""
+    dropped = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    dropped = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks for."""
+    return mix(docs.select(*COLUMNS))
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard, slot and grown shard of every row; copies of a document share its shard."""
+    return shard(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 
+#: The trained trees of the first stage have no SQL form.
 ORACLE_SQL = None
 
 
