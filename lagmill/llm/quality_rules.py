@@ -11,8 +11,9 @@ from lagmill.llm.common import SPACE, let, materialize, split_words
 CORE, STEPS = 0.75, 4
 #: Rows that a language and source need for an estimate of their own; below, the language's small sources pool theirs, then all do.
 LEAST_GROUP = 100
-#: Squared distance beyond which a row is an outlier. In five dimensions a normal vector exceeds it with probability under 1e-15.
-CUTOFF = 90.0
+#: Squared distance beyond which a row is an outlier. A normal vector of five dimensions exceeds it with probability 1e-11; real
+#: clean texts have heavier tails than that.
+CUTOFF = 60.0
 #: Median of a chi-squared variable with five degrees of freedom, to which each group's distances are scaled.
 CHI2_MEDIAN = 4.351
 #: The transformed statistics with the least standard deviation that an estimate may give each.
@@ -67,15 +68,15 @@ def _vectors(stats: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """lang, source -> grp: their own group if large enough, else the language's, else one for all."""
+    """lang, source -> grp: their own group if large enough, else the language's small sources together, else all that remain, else null.
+    The windows run over one row per language and source."""
     per = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    large = F.col("n") >= LEAST_GROUP
-    pooled = F.sum(F.when(large, 0).otherwise(F.col("n"))).over(Window.partitionBy("lang"))
-    own = F.to_json(F.struct("lang", "source"))
-    return per.select(
-        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-        F.when(large, own).when(pooled >= LEAST_GROUP, F.to_json(F.struct("lang"))).otherwise(F.lit("all")).alias("grp"),
-    )
+    own = F.when(F.col("n") >= LEAST_GROUP, F.to_json(F.struct("lang", "source")))
+    per = per.withColumn("grp", own)
+    for label, within in ((F.to_json(F.struct("lang")), Window.partitionBy("lang")), (F.lit("all"), Window.partitionBy(F.lit(0)))):
+        pooled = F.sum(F.when(F.col("grp").isNull(), F.col("n")).otherwise(0)).over(within)
+        per = per.withColumn("grp", F.coalesce("grp", F.when(pooled >= LEAST_GROUP, label)))
+    return per.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "grp")
 
 
 def _group_quantile(rows: DataFrame, keys: list[str], value: Column, share: float, name: str) -> DataFrame:
@@ -178,9 +179,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     groups = materialize(_groups(stats.where("not base_failed")), "rules-groups")
     on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     grouped = stats.join(groups, on, "left").drop("g_lang", "g_source")
-    passed = materialize(grouped.where("not base_failed").select("grp", *VECTOR), "rules-vectors")
-    enough = passed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_GROUP).select("grp")
-    estimates = robust_estimates(passed.join(enough, "grp", "left_semi"))
+    passed = materialize(grouped.where("not base_failed and grp is not null").select("grp", *VECTOR), "rules-vectors")
+    estimates = robust_estimates(passed)
     judged = grouped.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(VECTOR)) / F.col("scale")))
     return judged.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
