@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagmill.llm.common import new_path, read_table
+from lagmill.llm.common import materialize, new_path, read_table
 from lagmill.llm.decontaminate import contamination
 from lagmill.llm.license_scan import license_matches
 from lagmill.llm.mixing import mix_plan
@@ -61,7 +61,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(read_table(spark, sf_dir, "pages"), path)
-    pages = capture_pages(assemble(read_archives(spark, path, with_payload=False)))
+    records = materialize(read_archives(spark, path, with_payload=False), "warc-records")  # three joins read them
+    pages = capture_pages(assemble(records))
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
