@@ -19,8 +19,9 @@ TRANSITION = 0.05
 
 
 def by_batch(kernel: Callable[..., np.ndarray], *columns: Column, returns: str = "array<double>") -> Column:
-    """kernel applied to the matrices of the given array columns; series of different lengths go through it by length. Null
-    series give null."""
+    """kernel applied to the matrices of the given array columns, and to vectors of plain number columns; series of different lengths go
+    through it by length (of the first column). Null series give null. Pass columns, not expressions with lambdas: those would be
+    moved into the call, where they can't be evaluated."""
 
     @pandas_udf(returns)
     def run(*parts: pd.Series) -> pd.Series:
@@ -29,7 +30,7 @@ def by_batch(kernel: Callable[..., np.ndarray], *columns: Column, returns: str =
         for n in length.unique():
             if n > 0:
                 at = np.flatnonzero(length == n)
-                got = kernel(*(np.stack(p.iloc[at].to_numpy()).astype(np.float64) for p in parts))
+                got = kernel(*(np.stack(p.iloc[at].to_numpy()).astype(np.float64) if p.dtype == object else p.to_numpy(np.float64)[at] for p in parts))
                 for i, row in zip(at, got, strict=True):
                     out.iat[i] = row
         return out.astype("float64") if returns == "double" else out
@@ -37,6 +38,11 @@ def by_batch(kernel: Callable[..., np.ndarray], *columns: Column, returns: str =
     return run(*columns)
 
 
+def standardized(x: np.ndarray) -> np.ndarray:
+    spread = x.std(axis=1, keepdims=True)
+    return (x - x.mean(axis=1, keepdims=True)) / np.where(spread > 0, spread, 1)
+
+
 def padded(x: np.ndarray, n: int) -> np.ndarray:
     """x with n reflected samples on either side."""
     n = min(n, x.shape[1])
@@ -118,7 +124,7 @@ def savgol(length: int, order: int) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def shifted(x: np.ndarray, by: np.ndarray, pad: int = 30) -> np.ndarray:
-    """Every series moved later by its own number of samples (column of one value), by phase in the frequency domain, ends reflected."""
+    """Every series moved later by its own number of samples, by phase in the frequency domain, ends reflected."""
     n = min(pad, x.shape[1])
     y = padded(x, n)
     f = np.fft.rfftfreq(y.shape[1])

@@ -40,13 +40,8 @@ def null_distribution(spark: SparkSession, ref: list[float], repeats: int, most:
 
 
 def align(series: DataFrame) -> DataFrame:
-    """series (values, lag) with aligned: the values moved earlier by the lag."""
-    moved = K.by_batch(K.shifted, F.col("values"), F.transform("values", lambda v, i: F.when(i == 0, -F.col("lag")).otherwise(F.lit(0.0))))
-    return series.withColumn("aligned", moved)
-
-
-def _aligned_kernel(x, by):
-    return K.shifted(x, by[:, 0])
+    """series (values, lag) with aligned: the standardised values moved earlier by the lag."""
+    return series.withColumn("aligned", K.by_batch(lambda x, lag: K.shifted(K.standardized(x), -lag), F.col("values"), F.col("lag")))
 
 
 def refine(series: DataFrame, least: float, weight: str = "R") -> DataFrame:
@@ -54,9 +49,8 @@ def refine(series: DataFrame, least: float, weight: str = "R") -> DataFrame:
     (values, lag, strength, fail) whose fit holds and reaches `least`. Partial sums by time step, then one row."""
     good = series.where((F.col("fail") == 0) & (F.col("strength") >= least))
     w = {"R": F.col("strength"), "R2": F.col("strength") * F.col("strength"), "None": F.lit(1.0)}[weight]
-    by = F.transform("values", lambda v, i: -F.col("lag"))
-    moved = good.select(w.alias("w"), K.by_batch(_aligned_kernel, S.normalize(F.col("values"), "z"), by).alias("a"))
-    sums = moved.select("w", F.posexplode("a").alias("t", "v")).groupBy("t").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+    moved = align(good.select(w.alias("w"), "values", "lag"))
+    sums = moved.select("w", F.posexplode("aligned").alias("t", "v")).groupBy("t").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
     ordered = F.sort_array(F.collect_list(F.struct("t", "v")))
     return sums.groupBy().agg(F.transform(ordered, lambda x: x["v"]).alias("ref"))
 
