@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,17 @@ from lagmill.llm.common import WORD, materialize
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
+#: Rows of a source and size class that one task numbers, at most about.
+BUCKET_ROWS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on the document id and the seed alone (52 bits of an MD5)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def uniform(key: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on the key and the seed alone (52 bits of an MD5)."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
@@ -41,29 +45,53 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return per.select("source", "source_size", F.least("cap", F.col("weight") * F.max("level").over(everything)).alias("target"))
 
 
+def _strata(rows: DataFrame, digits: int) -> DataFrame:
+    """rows with _s (source, not null), _c (size class: whole part of the size's root), _k (hash of the id) and _p (its first digits)."""
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("_k", digest)
+    return rows.withColumn("_c", F.floor(F.sqrt(F.col("size").cast("double")))).withColumn("_p", F.substring("_k", 1, digits))
+
+
 def with_copies(rows: DataFrame, sizes: DataFrame, seed: str = "mix") -> DataFrame:
-    """rows (doc_id, source, size and any others) with source_size, target, copies: floor(rate) whole copies, rate = target /
-    source_size, plus one if the document's hash draw falls under the fraction."""
+    """rows (doc_id, source, size and any others) with source_size, target and copies, sizes being a written table of the same
+    doc_id, source and size.
+
+    copies is floor(rate) whole copies, rate = target / source_size, plus a Bernoulli copy with probability equal to the fraction. A source's draws
+    are made together, so that their sum stays near its expectation even for few or very unequal documents: in order of size class and
+    hash of the id, document i takes a copy when u + i * fraction passes a whole number, u being the source's hash-seeded uniform number.
+    Positions are numbered in buckets of a source, size class and hash prefix, and offset by the counts of the buckets before.
+    """
+    digits = max(1, ceil(log(max(1, sizes.count() / BUCKET_ROWS), 16)))
+    ahead = Window.partitionBy("_s").orderBy("_c", "_p").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = _strata(sizes, digits).groupBy("_s", "_c", "_p", "source").agg(F.count(F.lit(1)).alias("_n"))
+    buckets = buckets.withColumn("_off", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
     targets = source_targets(sizes).withColumnRenamed("source", "_source")
+    buckets = buckets.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source", "_n")
+    place = F.row_number().over(Window.partitionBy("_s", "_c", "_p").orderBy("_k", "doc_id"))
+    placed = _strata(rows, digits).withColumn("_i", place).join(buckets, ["_s", "_c", "_p"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("int")
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return joined.withColumn("copies", (F.floor(rate) + extra).cast("int"))
+    placed = placed.withColumn("_f", rate - F.floor(rate)).withColumn("_u", uniform(F.col("source"), seed)).withColumn("_i", F.col("_off") + F.col("_i"))
+    extra = F.floor(F.col("_u") + F.col("_i") * F.col("_f")) - F.floor(F.col("_u") + (F.col("_i") - 1) * F.col("_f"))
+    return placed.withColumn("copies", (F.floor(rate) + extra).cast("int")).drop("_s", "_c", "_p", "_k", "_i", "_off", "_f", "_u")
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
 
 
 def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """Per document (doc_id, source, text): size in words, source_size, target of its source, copies and taken = size * copies.
 
-    Null texts have size 0. Null sources are one source, last in order. A null doc_id draws as the empty string; repeated
-    ids draw alike. An empty table gives no rows. Other columns are ignored.
+    Null texts have size 0. Null sources are one source, last in order. A null doc_id hashes as the empty string; repeated
+    rows each have their own place and draw. An empty table gives no rows. Other columns are ignored.
     """
-    rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    rows = _sizes(docs)
     plan = with_copies(rows, rows, seed)
     return plan.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every row of docs as often as mix_plan says, columns unchanged."""
-    sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source")
-    return with_copies(rows, sizes, seed).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    copied = with_copies(rows, _sizes(docs), seed).where("copies > 0")
+    return copied.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")

@@ -85,11 +85,13 @@ levels AS (
             (sum(weight) OVER () - coalesce(sum(weight) OVER ahead, 0)) AS level
   FROM per WINDOW ahead AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * max(level) OVER ()) AS target FROM levels),
-drawn AS (
+placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+         ('0x' || substr(md5('mix:' || coalesce(s.source, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u,
+         row_number() OVER (PARTITION BY s.source ORDER BY floor(sqrt(s.size::DOUBLE)), md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id) AS i
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn
+SELECT doc_id, size, source_size, target,
+       (size * (floor(rate) + floor(u + i * (rate - floor(rate))) - floor(u + (i - 1) * (rate - floor(rate)))))::BIGINT AS taken FROM placed
 """
 
 #: Fixed shape of the contract: sets of five-word shingles, links at 75 %, smallest reachable doc_id.
