@@ -57,7 +57,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         jump_hash(key, shards).alias("h"),
     ).select("doc_id", "size", "text_crc32", "order_key", F.col("h.shard").cast("int").alias("shard"), F.col("h.grown").cast("int").alias("grown_shard"))
     rows = materialize(rows, "shard-rows")
-    digits = max(1, ceil(log(max(1, rows.count() / (shards * BUCKET_ROWS)), 16)))
+    digits = max(2, ceil(log(max(1, rows.count() / (shards * BUCKET_ROWS)), 16)))
     rows = rows.withColumn("bucket", F.substring("order_key", 1, digits))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
