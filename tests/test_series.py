@@ -10,7 +10,7 @@ from lagmill.functions import kernels as K
 from lagmill.functions import series as S
 from lagmill.operators import frames, grids, lags, passes, quantiles
 
-CASES = [[1.0, 5.0, 2.0, 8.0, 3.0], [2.0, 2.0, 2.0, 2.0], [0.0, -1.0, 4.0, 4.0, 9.0, -3.0], list(np.sin(np.arange(31) / 3) + 2)]
+CASES = [[1.0, 5.0, 2.0, 8.0, 3.0], [2.0, 2.0, 2.0, 2.0], [0.0, -1.0, 4.0, 4.0, 9.0, -3.0], (np.sin(np.arange(31) / 3) + 2).tolist()]
 
 
 def column(spark, expr):
