@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagmill.llm.common import components, discard, materialize
+from lagmill.llm.common import components, discard, materialize, star_labels
 
 SHINGLE = 5
 COORDS, ROWS = 128, 4
@@ -20,6 +20,8 @@ BANDS = COORDS // ROWS
 #: (a pair at 0.75 falls below with probability 3e-6, like the banding).
 LEAST_AGREED = int(COORDS * (0.75 - 4.5 * (0.75 * 0.25 / COORDS) ** 0.5))
 BLOCK = 512
+#: Documents per task of the smaller tables, about: these are written in as many tasks as the documents ask for.
+TASK_ROWS = 20_000
 
 _M1, _M2, _ROLL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -196,32 +198,32 @@ def _block_links(pdf):
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
-def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _full_sets(ids: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """id, full: the shingle sets of these documents, recomputed from their texts."""
     texts = docs.join(ids.toDF("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
-    return materialize(texts.mapInArrow(_set_batches, "id bigint, full binary"), "nd-sets")
+    return materialize(texts.mapInArrow(_set_batches, "id bigint, full binary"), "nd-sets", parts)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """The pairs (a, b) that the sketches don't rule out and that hold on the full sets."""
     sketched = pairs.join(reps.toDF("a", "sketch_a"), "a").join(reps.toDF("b", "sketch_b"), "b").select("a", "b", "sketch_a", "sketch_b")
-    agreed = materialize(sketched.mapInArrow(_agree_batches, "a bigint, b bigint"), "nd-agreed")
-    ids = materialize(agreed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nd-ids")
-    sets = _full_sets(ids, docs)
+    agreed = materialize(sketched.mapInArrow(_agree_batches, "a bigint, b bigint"), "nd-agreed", parts)
+    ids = materialize(agreed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nd-ids", parts)
+    sets = _full_sets(ids, docs, parts)
     full = agreed.join(sets.toDF("a", "full_a"), "a").join(sets.toDF("b", "full_b"), "b").select("a", "b", "full_a", "full_b")
-    out = materialize(full.mapInArrow(_verify_batches, "a bigint, b bigint").distinct(), "nd-links")
+    out = materialize(full.mapInArrow(_verify_batches, "a bigint, b bigint").distinct(), "nd-links", parts)
     for done in (agreed, ids, sets):
         discard(done)
     return out
 
 
-def _open_blocks(members: DataFrame, part: DataFrame, reps: DataFrame) -> DataFrame:
+def _open_blocks(members: DataFrame, part: DataFrame, reps: DataFrame, parts: int) -> DataFrame:
     """Members of the buckets that still hold several components, dealt to pairs of blocks (key, i, j) of about BLOCK members."""
-    labelled = materialize(members.join(part, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "nd-labelled")
+    labelled = materialize(members.join(part, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "nd-labelled", parts)
     several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
-        labelled.join(materialize(several, "nd-several"), "key", "left_semi")
+        labelled.join(materialize(several, "nd-several", parts), "key", "left_semi")
         .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -249,17 +251,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ),
         "nd-base",
     )
+    parts = 8 + base.count() // TASK_ROWS
     known = base.where("doc_id is not null and set_key is not null")
-    classes = materialize(
-        known.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "nd-classes"
-    )
+    counts = known.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(counts.where("n > 1").drop("n"), "nd-classes", parts)
     rows = base.drop("sketch").join(classes, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_key").isNotNull(), F.coalesce("first_id", "doc_id")).alias("id")
     )
-    reps = materialize(
-        known.join(classes, "set_key", "left").where("first_id is null or first_id = doc_id").select(F.col("doc_id").alias("id"), "sketch"),
-        "nd-reps",
-    )
+    reps = known.join(classes, "set_key", "left").where("first_id is null or first_id = doc_id").select(F.col("doc_id").alias("id"), "sketch")
+    reps = materialize(reps, "nd-reps", parts)
     bands = materialize(reps.mapInArrow(_band_batches, "key bigint, id bigint"), "nd-bands")
     # Buckets with the same members are one: most groups of copies meet in many bands.
     buckets = (
@@ -269,25 +269,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("leader", "n", "members")
         .agg(F.min("key").alias("key"))
     )
-    buckets = materialize(buckets.drop("members"), "nd-buckets")
-    members = materialize(bands.join(buckets, "key"), "nd-members")
+    buckets = materialize(buckets.drop("members"), "nd-buckets", parts)
+    members = materialize(bands.join(buckets, "key"), "nd-members", parts)
     discard(bands)
     stars = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(stars, reps, docs)
-    part = materialize(components(links, "a", "b"), "nd-part")
+    links = _verified(stars, reps, docs, parts)
+    near = materialize(star_labels(links, "a", "b"), "nd-near", parts)
     larger = members.where("n > 2").drop("leader")
 
-    forest = _open_blocks(larger, part, reps).groupBy("key", "i", "j").applyInPandas(_block_forest, "a bigint, b bigint").distinct()
-    links = materialize(links.unionByName(_verified(forest, reps, docs)), "nd-links")
-    part = materialize(components(links, "a", "b"), "nd-part")
+    forest = _open_blocks(larger, near, reps, parts).groupBy("key", "i", "j").applyInPandas(_block_forest, "a bigint, b bigint").distinct()
+    links = materialize(links.unionByName(_verified(forest, reps, docs, parts)), "nd-links", parts)
+    part = materialize(components(links, "a", "b"), "nd-part", parts)
 
     shape = "key bigint, id bigint, component bigint, block int, i int, j int, sketch binary"
-    left = _open_blocks(larger, part, reps).select(*(c.split()[0] for c in shape.split(", ")))
-    left = materialize(left.groupBy("key", "i", "j").applyInPandas(_block_open, shape), "nd-open")
-    sets = _full_sets(left.select("id").distinct(), docs)
-    last = left.join(sets, "id").groupBy("key", "i", "j").applyInPandas(_block_links, "a bigint, b bigint").distinct()
-    last = materialize(last, "nd-last")
-    final = components(links.unionByName(last), "a", "b") if last.limit(1).count() else part
+    left = _open_blocks(larger, part, reps, parts).select(*(c.split()[0] for c in shape.split(", ")))
+    left = materialize(left.groupBy("key", "i", "j").applyInPandas(_block_open, shape), "nd-open", parts)
+    final = part
+    if left.limit(1).count():
+        sets = _full_sets(left.select("id").distinct(), docs, parts)
+        last = left.join(sets, "id").groupBy("key", "i", "j").applyInPandas(_block_links, "a bigint, b bigint").distinct()
+        last = materialize(last, "nd-last", parts)
+        if last.limit(1).count():
+            final = components(links.unionByName(last), "a", "b")
     return (
         rows.join(final, "id", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")))
