@@ -292,3 +292,28 @@ def surrogate(seeds: np.ndarray, x: np.ndarray, kind: str = "shuffle") -> np.nda
                 turn[-1] = 1
             out[i] = np.fft.irfft(f * turn, len(x))
     return out
+
+
+def spline_matrix(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """(new, old) matrix of the cubic spline through samples at `old` (the first and last two pieces are one cubic each), evaluated at `new`; positions
+    outside follow the end pieces. A spline is linear in its samples, so one matrix serves every series."""
+    n, h = len(old), np.diff(old)
+    if n < 4:
+        return np.stack([np.interp(new, old, row) for row in np.eye(n)], axis=1)
+    system, right = np.zeros((n, n)), np.zeros((n, n))  # for the second derivatives
+    for i in range(1, n - 1):
+        system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        right[i, i - 1 : i + 2] = 6 / h[i - 1], -6 / h[i - 1] - 6 / h[i], 6 / h[i]
+    system[0, :3] = h[1], -h[0] - h[1], h[0]
+    system[-1, -3:] = h[-1], -h[-1] - h[-2], h[-2]
+    curve = np.linalg.solve(system, right)
+    k = np.clip(np.searchsorted(old, new, side="right") - 1, 0, n - 2)
+    b = ((new - old[k]) / h[k])[:, None]
+    a, unit, hk = 1 - b, np.eye(n), h[k][:, None]
+    return a * unit[k] + b * unit[k + 1] + ((a**3 - a) * curve[k] + (b**3 - b) * curve[k + 1]) * hk**2 / 6
+
+
+def resampled(old: np.ndarray, new: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Cubic-spline values at new positions; positions that can't move with the series are given once."""
+    m = spline_matrix(np.asarray(old, float), np.asarray(new, float))
+    return lambda x: x @ m.T

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagmill.functions import kernels as K
 from lagmill.functions import series as S
-from lagmill.operators import frames, grids, lags, passes, quantiles
+from lagmill.operators import decomposition, frames, grids, lags, passes, quantiles, waves
 from lagmill.plans.catalog import CORRELOGRAM, EVENT_HOURS, GRID, MOST_LAG, SAMPLES, correlogram_rows, event_hours, grid_map, query, rounded, rounds, samples
 from lagmill.sources.tables import embedding_series, to_samples, to_series
 
@@ -189,3 +189,66 @@ def null_distribution(spark, sf_dir):
     ref = lags.reference_series(series).first()["ref"]
     null = passes.null_distribution(spark, ref or [0.0, 1.0], series.count(), MOST_LAG)
     return rounded(quantiles.nearest_rank(null, [], "strength", [0.5, 0.95, 0.99]))
+
+
+@query(f"""
+WITH {SAMPLES}, n AS (SELECT *, lag(v) OVER o AS p, lead(v) OVER o AS q FROM s WINDOW o AS (PARTITION BY series_id ORDER BY t)),
+k AS (SELECT series_id, t, v FROM n WHERE v > p AND v >= q), j AS (SELECT s.series_id, s.t, max(k.t) FILTER (k.t <= s.t) AS a, min(k.t) FILTER (k.t >= s.t) AS b FROM s JOIN k USING (series_id) GROUP BY 1, 2),
+x AS (SELECT series_id, t, coalesce(a, b) AS a, coalesce(b, a) AS b FROM j)
+SELECT x.series_id, x.t, round(ka.v + CASE WHEN b > a THEN (x.t - a) / (b - a)::DOUBLE ELSE 0 END * (kb.v - ka.v), 6) + 0.0 AS envelope
+FROM x JOIN k ka ON ka.series_id = x.series_id AND ka.t = a JOIN k kb ON kb.series_id = x.series_id AND kb.t = b""")
+def peak_envelopes(spark, sf_dir):
+    rows = waves.peak_envelope(samples(spark, sf_dir).drop("label"))
+    return rounded(rows.where("envelope is not null").select("series_id", "t", "envelope"))
+
+
+@query(f"""
+WITH {EVENT_HOURS}, c AS (SELECT event_type, value, (h / 24 - floor(h / 24)) * 24 AS a FROM e), p AS (SELECT *, floor(a)::INT + k AS p FROM c, (SELECT unnest([-1, 0, 1]) AS k)),
+w AS (SELECT event_type, ((p + 24) % 24)::INT AS bin, value, exp(-(a - p) * (a - p) / 1.125) AS w FROM p WHERE abs(a - p) <= 1.5)
+SELECT event_type, bin, {rounds("sum(w * value) / sum(w) AS v", "sum(w) AS weight")} FROM w GROUP BY 1, 2""")
+def phase_gridded_average(spark, sf_dir):
+    return rounded(waves.grid_average(event_hours(spark, sf_dir), ["event_type"], F.col("h") / 24, F.col("value"), 24))
+
+
+@query()
+def dominant_frequencies(spark, sf_dir):
+    return rounded(waves.dominant_frequency(embedding_series(spark, sf_dir), RATE, 0.05, 0.45))
+
+
+@query()
+def spectrogram_peaks(spark, sf_dir):
+    rows = waves.spectrogram(embedding_series(spark, sf_dir), 16, 8)
+    return rounded(rows.select("series_id", "start", F.array_max("magnitudes").alias("peak"), (F.array_position("magnitudes", F.array_max("magnitudes")) - 1).alias("k")))
+
+
+@query()
+def waveform_quality(spark, sf_dir):
+    return rounded(waves.quality(embedding_series(spark, sf_dir), RATE, 32))
+
+
+@query()
+def kalman_smoothed(spark, sf_dir):
+    return rounded(to_samples(waves.kalman_smooth(embedding_series(spark, sf_dir), 0.05, 0.5)))
+
+
+@query()
+def prewhitened(spark, sf_dir):
+    rows = embedding_series(spark, sf_dir).select("series_id", K.by_batch(waves.prewhiten(3), F.col("values")).alias("values"))
+    return rounded(to_samples(rows))
+
+
+@query()
+def resampled_series(spark, sf_dir):
+    """Every series at half steps, by cubic spline."""
+    f = K.resampled(np.arange(64.0), np.arange(0, 63.5, 0.5))
+    rows = embedding_series(spark, sf_dir).where(F.size("values") == 64).select("series_id", K.by_batch(f, F.col("values")).alias("values"))
+    return rounded(to_samples(rows))
+
+
+@query()
+def principal_loadings(spark, sf_dir):
+    """Loadings of every series on the leading principal time courses."""
+    series = embedding_series(spark, sf_dir)
+    components, _, _ = decomposition.principal_timecourses(series, 64, 3)
+    rows = decomposition.loadings(series.where(F.size("values") == 64), components)
+    return rounded(rows.select("series_id", *(F.get("loadings", F.lit(i)).alias(f"pc{i + 1}") for i in range(3))))
