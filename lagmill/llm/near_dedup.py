@@ -19,7 +19,8 @@ BANDS = COORDS // ROWS
 #: Sketch agreement below which a pair is not verified: 0.75 less 4.5 standard deviations of the estimate from 128 coordinates
 #: (a pair at 0.75 falls below with probability 3e-6, like the banding).
 LEAST_AGREED = int(COORDS * (0.75 - 4.5 * (0.75 * 0.25 / COORDS) ** 0.5))
-BLOCK = 512
+#: Members of a block and shingles of all of them, about: what one comparing task holds at a time, twice.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Documents per task of the smaller tables, about: these are written in as many tasks as the documents ask for.
 TASK_ROWS = 20_000
 
@@ -206,7 +207,8 @@ def _full_sets(ids: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """The pairs (a, b) that the sketches don't rule out and that hold on the full sets."""
-    sketched = pairs.join(reps.toDF("a", "sketch_a"), "a").join(reps.toDF("b", "sketch_b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    known = reps.select("id", "sketch")
+    sketched = pairs.join(known.toDF("a", "sketch_a"), "a").join(known.toDF("b", "sketch_b"), "b").select("a", "b", "sketch_a", "sketch_b")
     agreed = materialize(sketched.mapInArrow(_agree_batches, "a bigint, b bigint"), "nd-agreed", parts)
     ids = materialize(agreed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nd-ids", parts)
     sets = _full_sets(ids, docs, parts)
@@ -218,17 +220,20 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, parts: int) ->
 
 
 def _open_blocks(members: DataFrame, part: DataFrame, reps: DataFrame, parts: int) -> DataFrame:
-    """Members of the buckets that still hold several components, dealt to pairs of blocks (key, i, j) of about BLOCK members."""
-    labelled = materialize(members.join(part, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component")), "nd-labelled", parts)
-    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    """Members of the buckets that still hold several components, dealt to pairs of blocks (key, i, j) of about BLOCK members
+    or BLOCK_SHINGLES shingles, whichever is less."""
+    sized = members.join(part, "id", "left").join(reps.select("id", "n_shingles"), "id")
+    labelled = materialize(sized.select("key", "n", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "nd-labelled", parts)
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("weight"))
+    several = materialize(several.where("lo != hi").select("key", "weight"), "nd-several", parts)
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     dealt = (
-        labelled.join(materialize(several, "nd-several", parts), "key", "left_semi")
+        labelled.join(several, "key")
         .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    return dealt.join(reps, "id")
+    return dealt.join(reps.select("id", "sketch"), "id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -258,9 +263,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = base.drop("sketch").join(classes, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_key").isNotNull(), F.coalesce("first_id", "doc_id")).alias("id")
     )
-    reps = known.join(classes, "set_key", "left").where("first_id is null or first_id = doc_id").select(F.col("doc_id").alias("id"), "sketch")
+    reps = known.join(classes, "set_key", "left").where("first_id is null or first_id = doc_id").select(F.col("doc_id").alias("id"), "sketch", "n_shingles")
     reps = materialize(reps, "nd-reps", parts)
-    bands = materialize(reps.mapInArrow(_band_batches, "key bigint, id bigint"), "nd-bands")
+    bands = materialize(reps.select("id", "sketch").mapInArrow(_band_batches, "key bigint, id bigint"), "nd-bands")
     # Buckets with the same members are one: most groups of copies meet in many bands.
     buckets = (
         bands.groupBy("key")
