@@ -178,3 +178,43 @@ def t_of_r(r: Column, dof: Column) -> Column:
 
 def z_of_r(r: Column, dof: Column) -> Column:
     return F.when(r >= 1, F.lit(float("inf"))).otherwise(r * F.sqrt(dof - 3))
+
+
+def rms(a: Column) -> Column:
+    return F.sqrt(dot(a, a) / F.size(a))
+
+
+def center_of_mass(x: Column, a: Column) -> Column:
+    return dot(x, a) / total(a)
+
+
+def energy_entropy(a: Column) -> Column:
+    """Minus the sum of v**2 * log2(v**2), zeros adding nothing."""
+    return -F.aggregate(a, F.lit(0.0), lambda s, x: s + F.when(x != 0, x * x * F.log2(x * x)).otherwise(F.lit(0.0)))
+
+
+def value_index(start: Column, step: Column, n: Column, value: Column) -> Column:
+    """Index of the nearest point (half to even) of the axis start + k * step, k < n, ends held."""
+    return F.greatest(F.lit(0), F.least(n - 1, F.rint((value - start) / step).cast("int")))
+
+
+def phase_wrap(phase: Column, centric: bool = True) -> Column:
+    """Phase in (-pi, pi], or in [0, 2 pi)."""
+    if centric:
+        return F.lit(pi) - F.pmod(F.lit(pi) - phase, F.lit(2 * pi))
+    return F.pmod(phase, F.lit(2 * pi))
+
+
+def expanded(values: dict[str, Column], powers: int = 1, derivatives: bool = True) -> dict[str, Column]:
+    """Regressors with powers 2 .. powers of each and the gradient of all of them, by name: a, a^2, a_deriv, a^2_deriv."""
+
+    def power(v: Column, k: int) -> Column:
+        return F.transform(v, lambda x: F.pow(x, F.lit(float(k))))
+
+    out = values | {f"{name}^{k}": power(v, k) for name, v in values.items() for k in range(2, powers + 1)}
+    return out | ({f"{name}_deriv": gradient(v) for name, v in out.items()} if derivatives else {})
+
+
+def orthogonal(a: Column, b: Column) -> Column:
+    """a less its projection on b."""
+    return let(dot(a, b) / dot(b, b), lambda f: F.zip_with(a, b, lambda x, y: x - f * y))

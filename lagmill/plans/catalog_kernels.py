@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lagmill.functions import kernels as K
 from lagmill.functions import series as S
-from lagmill.operators import decomposition, frames, grids, lags, passes, quantiles, waves
-from lagmill.plans.catalog import CORRELOGRAM, EVENT_HOURS, GRID, MOST_LAG, SAMPLES, correlogram_rows, event_hours, grid_map, query, rounded, rounds, samples
+from lagmill.operators import decomposition, frames, grids, lags, maps, passes, quantiles, waves
+from lagmill.plans.catalog import CORRELOGRAM, EVENT_HOURS, GRID, MOST_LAG, SAMPLES, TWO_MAPS, correlogram_rows, event_hours, grid_map, query, rounded, rounds, samples, two_maps
 from lagmill.sources.tables import embedding_series, to_samples, to_series
 
 #: Samples a second that the registered filters take the series to have.
@@ -120,6 +120,69 @@ def lagged_regressors(spark, sf_dir):
     return rounded(to_samples(rows.select("series_id", F.col("regressor").alias("values"))))
 
 
+@query(f"""
+WITH {SAMPLES}, p AS (SELECT x.series_id, x.v AS a, y.v AS b FROM s x JOIN s y ON x.series_id = y.series_id AND y.t = x.t + 1 WHERE x.t % 2 = 0)
+SELECT series_id, round(corr(a, b), 6) + 0.0 AS r, count(*) AS n FROM p GROUP BY series_id""")
+def even_odd_pair_correlation(spark, sf_dir):
+    return rounded(maps.paired_correlation(samples(spark, sf_dir))["series_id"])
+
+
+@query(f"""
+WITH {TWO_MAPS} SELECT label, {rounds("avg(a - b) AS mean_diff", "avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t")}, count(*) - 1 AS dof FROM m GROUP BY label""")
+def paired_t_test(spark, sf_dir):
+    return rounded(maps.paired_t(two_maps(spark, sf_dir), ["label"], "a", "b"))
+
+
+@query(f"""
+WITH {SAMPLES}, g AS (SELECT t, avg(v) FILTER (label < 5) AS m1, avg(v) FILTER (label >= 5) AS m2, var_samp(v) FILTER (label < 5) AS v1, var_samp(v) FILTER (label >= 5) AS v2,
+  count(*) FILTER (label < 5) AS n1, count(*) FILTER (label >= 5) AS n2 FROM s GROUP BY t)
+SELECT t, {rounds("m1 - m2 AS mean_diff")}, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) + 0.0 AS "t_value", n1 + n2 - 2 AS dof FROM g""")
+def independent_t_test(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumnRenamed("t", "time")
+    found = maps.independent_t(rows, ["time"], F.col("label") < 5, "v").withColumnRenamed("t", "t_value")
+    return rounded(found.withColumnRenamed("time", "t"))
+
+
+@query(f"""
+WITH {GRID}, k AS (SELECT p.series_id, p.a, xn.a AS xn, xp.a AS xp, yn.a AS yn, yp.a AS yp, zn.a AS zn, zp.a AS zp FROM g p
+  LEFT JOIN g xn ON xn.x = p.x + 1 AND xn.y = p.y AND xn.z = p.z LEFT JOIN g xp ON xp.x = p.x - 1 AND xp.y = p.y AND xp.z = p.z
+  LEFT JOIN g yn ON yn.y = p.y + 1 AND yn.x = p.x AND yn.z = p.z LEFT JOIN g yp ON yp.y = p.y - 1 AND yp.x = p.x AND yp.z = p.z
+  LEFT JOIN g zn ON zn.z = p.z + 1 AND zn.x = p.x AND zn.y = p.y LEFT JOIN g zp ON zp.z = p.z - 1 AND zp.x = p.x AND zp.y = p.y),
+d AS (SELECT series_id, coalesce((xn - xp) / 2, xn - a, a - xp) AS g_x, coalesce((yn - yp) / 2, yn - a, a - yp) AS g_y, coalesce((zn - zp) / 2, zn - a, a - zp) AS g_z FROM k)
+SELECT series_id, {rounds("g_x", "g_y", "g_z", "sqrt(coalesce(g_x, 0) ** 2 + coalesce(g_y, 0) ** 2 + coalesce(g_z, 0) ** 2) AS slope")} FROM d""")
+def map_gradients(spark, sf_dir):
+    cells = grid_map(spark, sf_dir).select("series_id", "x", "y", "z", F.get("values", F.lit(0)).alias("a"))
+    return rounded(maps.gradients(cells, "a").select("series_id", "g_x", "g_y", "g_z", "slope"))
+
+
+@query(f"""
+WITH {SAMPLES} SELECT series_id, {rounds("sqrt(avg(v * v)) AS rms", "-sum(CASE WHEN v <> 0 THEN v * v * log2(v * v) ELSE 0 END) AS entropy", "sum(t * abs(v)) / sum(abs(v)) AS com")} FROM s GROUP BY series_id""")
+def energy_measures(spark, sf_dir):
+    v = F.col("values")
+    size = F.transform(v, lambda x: F.abs(x))
+    place = F.transform(v, lambda x, i: i.cast("double"))
+    return rounded(embedding_series(spark, sf_dir).select("series_id", S.rms(v).alias("rms"), S.energy_entropy(v).alias("entropy"), S.center_of_mass(place, size).alias("com")))
+
+
+@query(f"""
+WITH {SAMPLES}, w AS (SELECT *, lag(v) OVER o AS p, lead(v) OVER o AS n, lag(v * v) OVER o AS p2, lead(v * v) OVER o AS n2 FROM s WINDOW o AS (PARTITION BY series_id ORDER BY t))
+SELECT series_id, t, {rounds("v * v AS square", "(CASE WHEN p IS NULL THEN n - v WHEN n IS NULL THEN v - p ELSE (n - p) / 2 END) AS deriv",
+    "(CASE WHEN p IS NULL THEN n2 - v * v WHEN n IS NULL THEN v * v - p2 ELSE (n2 - p2) / 2 END) AS square_deriv")} FROM w""")
+def expanded_regressors(spark, sf_dir):
+    made = S.expanded({"v": F.col("values")}, 2)
+    rows = embedding_series(spark, sf_dir).select("series_id", made["v^2"].alias("square"), made["v_deriv"].alias("deriv"), made["v^2_deriv"].alias("square_deriv"))
+    return rounded(rows.select("series_id", F.posexplode(F.arrays_zip("square", "deriv", "square_deriv")).alias("t", "p")).select("series_id", "t", "p.*"))
+
+
+@query(f"""
+WITH {GRID} SELECT label, count(*) AS n, round(avg(a), 6) + 0.0 AS a FROM (SELECT CASE WHEN l IN (1, 2, 3) THEN 1 WHEN l IN (4, 5) THEN 2 ELSE 0 END + CASE WHEN x >= 4 AND l IN (1, 2, 3, 4, 5) THEN 10 ELSE 0 END AS label, a
+  FROM (SELECT g.*, e.label AS l FROM g JOIN embeddings e ON e.vec_id = g.series_id)) GROUP BY label""")
+def atlas_relabelled(spark, sf_dir):
+    cells = grid_map(spark, sf_dir).select("x", "y", "z", "label", F.get("values", F.lit(0)).alias("a"))
+    merged = maps.halves(maps.relabel(cells, {1: [1, 2, 3], 2: [4, 5]}), 4, 10)
+    return rounded(merged.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("a")))
+
+
 # Without an SQL form: tested against analytic truth and brute force.
 
 
