@@ -20,7 +20,7 @@ BANDS = COORDS // ROWS
 #: (a pair at 0.75 falls below with probability 3e-6, like the banding).
 LEAST_AGREED = int(COORDS * (0.75 - 4.5 * (0.75 * 0.25 / COORDS) ** 0.5))
 #: Members of a block and shingles of all of them, about: what one comparing task holds at a time, twice.
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 #: Documents per task of the smaller tables, about: these are written in as many tasks as the documents ask for.
 TASK_ROWS = 20_000
 
@@ -157,17 +157,21 @@ class _Forest:
 
 
 def _block_candidates(pdf):
-    """Positions (p, q), agreement descending, of the pairs of different components in one block, or between two blocks, of a bucket
-    whose sketches agree often enough."""
+    """Positions (p, q), agreement descending, of a block's pairs of different components whose sketches agree often enough; p a left row, q a
+    right one. A pair that shares several buckets is taken in the one with the smallest key; one that could be met from either side, once."""
     s = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(-1, COORDS)
-    comp, block = pdf["component"].to_numpy(), pdf["block"].to_numpy()
-    left, right = np.flatnonzero(block == pdf["i"].iat[0]), np.flatnonzero(block == pdf["j"].iat[0])
+    bands, ids, comp = band_keys(s), pdf["id"].to_numpy(), pdf["component"].to_numpy()
+    key, main = pdf["key"].iat[0], pdf["main"].iat[0]
+    side = pdf["side"].to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     found = [np.empty((0, 3), np.int64)]
     for p in left:
-        q = right[comp[right] != comp[p]]
+        q = right[(comp[right] != comp[p]) & ((comp[right] == main) | (ids[right] > ids[p]))]
         n = (s[q] == s[p]).sum(axis=1)
         q, n = q[n >= LEAST_AGREED], n[n >= LEAST_AGREED]
-        found.append(np.stack([np.full(len(q), p), q, n], axis=1))
+        if len(q):
+            first = np.where(bands[q] == bands[p], bands[q], np.iinfo(np.int64).max).min(axis=1) == key
+            found.append(np.stack([np.full(first.sum(), p), q[first], n[first]], axis=1))
     found = np.concatenate(found)
     return found[np.argsort(-found[:, 2], kind="stable"), :2]
 
@@ -220,20 +224,28 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, parts: int) ->
 
 
 def _open_blocks(members: DataFrame, part: DataFrame, reps: DataFrame, parts: int) -> DataFrame:
-    """Members of the buckets that still hold several components, dealt to pairs of blocks (key, i, j) of about BLOCK members
-    or BLOCK_SHINGLES shingles, whichever is less."""
+    """Members of the buckets that still hold several components, dealt to blocks (key, i, j): left rows (side 0) are the members outside
+    the bucket's main (largest) component, right rows (side 1) all members, each cut into pieces of about BLOCK members or BLOCK_SHINGLES
+    shingles, whichever is less. So a large component with a few strangers is sent about once."""
     sized = members.join(part, "id", "left").join(reps.select("id", "n_shingles"), "id")
-    labelled = materialize(sized.select("key", "n", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "nd-labelled", parts)
-    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n_shingles").alias("weight"))
-    several = materialize(several.where("lo != hi").select("key", "weight"), "nd-several", parts)
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    dealt = (
-        labelled.join(several, "key")
-        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    )
-    return dealt.join(reps.select("id", "sketch"), "id")
+    labelled = materialize(sized.select("key", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "nd-labelled", parts)
+    per = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w"))
+    several = per.groupBy("key").agg(
+        F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "w", "component")).alias("top"), F.sum("c").alias("n"), F.sum("w").alias("weight")
+    ).where("k > 1")
+    pieces = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    several = several.select(
+        "key", F.col("top.component").alias("main"), pieces(F.col("n") - F.col("top.c"), F.col("weight") - F.col("top.w")).alias("lefts"),
+        pieces(F.col("n"), F.col("weight")).alias("rights"),
+    )
+    several = materialize(several, "nd-several", parts)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    spread = lambda n, at: F.transform(F.sequence(F.lit(0), F.col(n) - 1), at)
+    left = spread("rights", lambda j: F.struct(own("lefts").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    right = spread("lefts", lambda i: F.struct(i.alias("i"), own("rights").alias("j"), F.lit(1).alias("side")))
+    places = F.when(F.col("component") != F.col("main"), F.concat(left, right)).otherwise(right)
+    dealt = labelled.join(several, "key").select("key", "id", "component", "main", F.explode(places).alias("p"))
+    return dealt.select("key", "id", "component", "main", "p.*").join(reps.select("id", "sketch"), "id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -280,13 +292,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = _verified(stars, reps, docs, parts)
     near = materialize(star_labels(links, "a", "b"), "nd-near", parts)
-    larger = members.where("n > 2").drop("leader")
+    larger = members.where("n > 2").select("key", "id")
 
     forest = _open_blocks(larger, near, reps, parts).groupBy("key", "i", "j").applyInPandas(_block_forest, "a bigint, b bigint").distinct()
     links = materialize(links.unionByName(_verified(forest, reps, docs, parts)), "nd-links", parts)
     part = materialize(components(links, "a", "b"), "nd-part", parts)
 
-    shape = "key bigint, id bigint, component bigint, block int, i int, j int, sketch binary"
+    shape = "key bigint, id bigint, component bigint, main bigint, i int, j int, side int, sketch binary"
     left = _open_blocks(larger, part, reps, parts).select(*(c.split()[0] for c in shape.split(", ")))
     left = materialize(left.groupBy("key", "i", "j").applyInPandas(_block_open, shape), "nd-open", parts)
     final = part
