@@ -140,8 +140,42 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: Fixed value: 3988292384 is the reversed polynomial of the CRC-32.
+OP7_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY n) AS tbl FROM (
+    SELECT n, list_reduce(range(0, 8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, n) AS c
+    FROM (SELECT unnest(range(0, 256)) AS n))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS id FROM documents),
+bytes AS (SELECT rid, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM d),
+crc AS (
+  SELECT rid, xor(4294967295, list_reduce(b, lambda a, x: xor(a >> 8, tbl[(xor(a, x) & 255) + 1]), 4294967295)) AS crc FROM bytes, crc_table),
+jump AS (
+  SELECT rid, 0::BIGINT AS b, 0::BIGINT AS j, 0::BIGINT AS shard, id AS chain FROM d
+  UNION ALL
+  SELECT rid, j, floor((j + 1) * (2147483648.0::DOUBLE / ((('0x' || substr(md5(chain), 1, 8))::BIGINT >> 1) + 1)::DOUBLE))::BIGINT,
+         CASE WHEN j < 40 THEN j ELSE shard END, md5(chain) FROM jump WHERE j < 41),
+placed AS (SELECT rid, max(shard)::INT AS shard, max(b)::INT AS grown_shard FROM jump GROUP BY rid)
+SELECT doc_id, (octet_length(encode(text)) + 16)::BIGINT AS size, crc AS text_crc32, 'key' AS law, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY md5(id), doc_id, crc, octet_length(encode(text))) - 1)::BIGINT AS slot, grown_shard
+FROM d JOIN crc USING (rid) JOIN placed USING (rid)
+"""
+
+#: Fixed value: the base32 alphabet.
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first_id, row_number() OVER (PARTITION BY h, n ORDER BY page_id NULLS LAST) AS k FROM p)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first_id END AS refers_to
+FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op4_near_dedup": OP4_SQL,
     "op6_decontamination": OP6_SQL,
+    "op7_sharding": OP7_SQL,
+    "op10_warc": OP10_SQL,
 }
