@@ -75,3 +75,28 @@ def test_stages(spark, tmp_path):
 def test_registration():
     names = list(__spark_entry__.queries())
     assert [n for n in names if re.match(r"op\d+_", n)] == list(queries.QUERIES) and len(queries.QUERIES) == 10 and "pipeline" in names
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Nulls in every column, empty and repeated rows, a very long text, clashing extra columns, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long_text = " ".join(f"word{i * i % 9973}" for i in range(60_000))
+    rows = [
+        (1, None, "en", "a", None), (2, "", None, None, 0), (3, "one two", "en", "a", 7), (3, "one two", "en", "a", 7), (None, "one two", "en", None, 7),
+        (4, long_text, "de", "b", len(long_text)), (5, long_text + " end", "de", "b", None), (None, None, None, None, None),
+    ]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema).selectExpr("*", "1 as size", "2 as id", "3 as copies", "4 as kept", "5 as contaminated", "6 as shard", "7 as key")
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if k < 4:
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+            if not data:
+                assert got == [], name
+            elif name == "near_dedup":
+                assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 2, 3, 3, 4]  # repeated rows are one document, rows without an id stay
+            elif name == "decontamination":
+                assert len(got) == len(rows)
+            elif name == "sharding":
+                assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 2, 3, 3, 4, 5]
