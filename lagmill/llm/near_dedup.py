@@ -21,6 +21,8 @@ BANDS = COORDS // ROWS
 LEAST_AGREED = int(COORDS * (0.75 - 4.5 * (0.75 * 0.25 / COORDS) ** 0.5))
 #: Members of a block and shingles of all of them, about: what one comparing task holds at a time, twice.
 BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+#: Ids that are broadcast, at most: 8 bytes each.
+MOST_SENT = 1_000_000
 #: Documents per task of the smaller tables, about: these are written in as many tasks as the documents ask for.
 TASK_ROWS = 20_000
 
@@ -204,8 +206,11 @@ def _block_links(pdf):
 
 
 def _full_sets(ids: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
-    """id, full: the shingle sets of these documents, recomputed from their texts."""
-    texts = docs.join(ids.toDF("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
+    """id, full: the shingle sets of these documents (a written table of ids), recomputed from their texts. Up to MOST_SENT ids go to
+    the texts, beyond that the texts are shuffled by id."""
+    side = ids.toDF("doc_id")
+    side = F.broadcast(side) if ids.count() <= MOST_SENT else side
+    texts = docs.join(side, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
     return materialize(texts.mapInArrow(_set_batches, "id bigint, full binary"), "nd-sets", parts)
 
 
@@ -303,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = materialize(left.groupBy("key", "i", "j").applyInPandas(_block_open, shape), "nd-open", parts)
     final = part
     if left.limit(1).count():
-        sets = _full_sets(left.select("id").distinct(), docs, parts)
+        sets = _full_sets(materialize(left.select("id").distinct(), "nd-ids", parts), docs, parts)
         last = left.join(sets, "id").groupBy("key", "i", "j").applyInPandas(_block_links, "a bigint, b bigint").distinct()
         last = materialize(last, "nd-last", parts)
         if last.limit(1).count():
