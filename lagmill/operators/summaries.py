@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lagmill.functions import series as S
 from lagmill.operators.quantiles import medians
+from lagmill.sources.tables import materialize
 
 
 def series_stats(series: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def region_timecourses(samples: DataFrame) -> DataFrame:
     """Per region and time of samples (label, t, v): mean, sum, std, median, mad and coefficient of variation in percent (0 for a zero mean)."""
     keys = ["label", "t"]
     base = samples.groupBy(*keys).agg(F.avg("v").alias("v_mean"), F.sum("v").alias("v_sum"), F.stddev_pop("v").alias("v_std"))
-    mid = medians(samples, keys, "v", "v_median")
+    mid = materialize(medians(samples, keys, "v", "v_median"), "medians")  # read twice
     away = medians(samples.join(mid, keys).select(*keys, F.abs(F.col("v") - F.col("v_median")).alias("d")), keys, "d", "mad")
     cov = F.when(F.col("v_mean") != 0, 100.0 * F.col("v_std") / F.col("v_mean")).otherwise(F.lit(0.0))
     return base.join(mid, keys).join(away, keys).select(*keys, "v_mean", "v_sum", "v_std", "v_median", (F.col("mad") / S.MAD_SCALE).alias("v_mad"), cov.alias("v_cov"))
@@ -32,7 +33,7 @@ def region_moments(maps: DataFrame, bins: int = 101) -> DataFrame:
     """Per region of maps (label, v): mean, std, median, mad, central moments 2 to 4 and the entropy (nats) of a histogram between the
     extremes of all values."""
     base = maps.groupBy("label").agg(F.avg("v").alias("v_mean"), F.stddev_pop("v").alias("v_std"), F.count("v").alias("n"))
-    mid = medians(maps, ["label"], "v", "v_median")
+    mid = materialize(medians(maps, ["label"], "v", "v_median"), "medians")  # read twice
     off = maps.join(base.select("label", "v_mean"), "label").join(mid, "label")
     away = medians(off.select("label", F.abs(F.col("v") - F.col("v_median")).alias("d")), ["label"], "d", "mad")
     d = F.col("v") - F.col("v_mean")
@@ -104,6 +105,6 @@ def mask_values(values: DataFrame, masks: list[str], value: str) -> DataFrame:
     """Per mask column: mean, std, median, mad and count of the values it holds."""
     rows = values.select(F.explode(F.array(*(F.when(F.col(m), F.lit(m)) for m in masks))).alias("mask"), F.col(value).alias("v")).where("mask is not null")
     base = rows.groupBy("mask").agg(F.avg("v").alias("v_mean"), F.stddev_pop("v").alias("v_std"), F.count("v").alias("n"))
-    mid = medians(rows, ["mask"], "v", "v_median")
+    mid = materialize(medians(rows, ["mask"], "v", "v_median"), "medians")  # read twice
     away = medians(rows.join(mid, "mask").select("mask", F.abs(F.col("v") - F.col("v_median")).alias("d")), ["mask"], "d", "mad")
     return base.join(mid, "mask").join(away, "mask").select("mask", "v_mean", "v_std", "v_median", (F.col("mad") / S.MAD_SCALE).alias("v_mad"), "n")
