@@ -9,15 +9,15 @@ from lagmill.llm.common import SPACE, let, materialize, split_words
 
 #: Share of a group's rows on which the minimum-covariance-determinant estimate rests, and concentration steps towards it.
 CORE, STEPS = 0.75, 4
-#: Rows that a language and source need for an estimate of their own; below, the language's small sources pool theirs, then all do.
+#: Rows that an estimate needs for a language and source of its own; below, the estimate of the whole language stands, then that of the table.
 LEAST_GROUP = 100
-#: Squared distance beyond which a row is an outlier. A normal vector of five dimensions exceeds it with probability 1e-11; real
-#: clean texts have heavier tails than that.
-CUTOFF = 60.0
-#: Median of a chi-squared variable with five degrees of freedom, to which each group's distances are scaled.
-CHI2_MEDIAN = 4.351
-#: The transformed statistics with the least standard deviation that an estimate may give each.
-VECTOR = {"x_length": 0.06, "x_symbols": 0.04, "x_lines": 0.12, "x_repeats": 0.12, "x_upper": 0.04}
+#: Quantiles of a chi-squared variable with five degrees of freedom: the median, to which each group's distances are scaled, the quartile from
+#: which a group's fence is measured, and that of 0.9999, the least cut. Tukey's outer limit of its logarithm, 1.5 quartile
+#: ranges above the upper quartile, is 25.8, the same; a group whose upper quartile is larger has heavier tails and a wider cut.
+CHI2_MEDIAN, CHI2_QUARTILE, CHI2_CUT = 4.351, 2.675, 25.745
+#: The transformed statistics with the least standard deviation that an estimate may give each: what counting alone gives the root of a share
+#: (1 / (2 sqrt(n))) over n = 100 lines or words, or over some 600 characters.
+VECTOR = {"x_length": 0.02, "x_symbols": 0.02, "x_lines": 0.05, "x_repeats": 0.05, "x_upper": 0.02}
 BIN = 1 / 512
 
 
@@ -68,15 +68,16 @@ def _vectors(stats: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """lang, source -> grp: their own group if large enough, else the language's small sources together, else all that remain, else null.
-    The windows run over one row per language and source."""
+    """lang, source -> grp, whose estimate judges their rows, and into, all groups whose estimates rest on their rows. grp is their own if they
+    have enough rows, else the whole language if that has, else the table. The windows run over one row per language and source."""
     per = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    own = F.when(F.col("n") >= LEAST_GROUP, F.to_json(F.struct("lang", "source")))
-    per = per.withColumn("grp", own)
-    for label, within in ((F.to_json(F.struct("lang")), Window.partitionBy("lang")), (F.lit("all"), Window.partitionBy(F.lit(0)))):
-        pooled = F.sum(F.when(F.col("grp").isNull(), F.col("n")).otherwise(0)).over(within)
-        per = per.withColumn("grp", F.coalesce("grp", F.when(pooled >= LEAST_GROUP, label)))
-    return per.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "grp")
+    by_lang, table = Window.partitionBy("lang"), F.lit("table")
+    own = F.when(F.col("n") >= LEAST_GROUP, F.concat(F.lit("source "), F.to_json(F.struct("lang", "source"))))
+    lang = F.when(F.sum("n").over(by_lang) >= LEAST_GROUP, F.concat(F.lit("lang "), F.to_json(F.struct("lang"))))
+    per = per.withColumns({"own": own, "whole": lang}).withColumn("grp", F.coalesce("own", "whole", table))
+    needed = lambda label, within: F.max(F.col("grp") == label).over(within)
+    into = F.array(F.col("own"), F.when(needed(F.col("whole"), by_lang), F.col("whole")), F.when(needed(table, Window.partitionBy(F.lit(0))), table))
+    return per.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "grp", F.array_compact(into).alias("into"))
 
 
 def _group_quantile(rows: DataFrame, keys: list[str], value: Column, share: float, name: str) -> DataFrame:
@@ -142,15 +143,18 @@ def _start(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimate per grp of rows with the vector columns: m_i, w_i_j (inverse Cholesky factor) and scale.
+    """Minimum-covariance-determinant estimate per grp of rows with the vector columns: m_i, w_i_j (inverse Cholesky factor), scale and cut.
 
     Concentration steps from a median start: the CORE share of a group's rows nearest to the current estimate gives the next
     mean and covariance, which never raises the determinant. The least standard deviations are added to the
-    variances, so that statistics that hardly vary keep a finite distance. scale brings the median distance to its normal value.
+    variances, so that statistics that hardly vary keep a finite distance. scale brings the median distance to its normal value; cut is
+    the scaled distance beyond which a row is an outlier, from the group's upper quartile and at least CHI2_CUT. Fewer than LEAST_GROUP rows
+    in all don't bear covariances: their estimate is the start.
     """
     names = list(VECTOR)
     estimate = materialize(_whitened(_start(rows, names)), "mcd-0")
-    for k in range(STEPS):
+    steps = STEPS if rows.limit(LEAST_GROUP).count() >= LEAST_GROUP else 0
+    for k in range(steps):
         placed = rows.join(estimate, "grp").withColumn("logd", _log_distance(names)).select("grp", *names, "logd")
         edge = materialize(_group_quantile(placed, ["grp"], F.col("logd"), CORE, "edge"), "mcd-edge")
         core = placed.join(edge, "grp").where("logd <= edge")
@@ -160,29 +164,33 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         )
         estimate = materialize(_whitened(estimate), f"mcd-{k + 1}")
     placed = rows.join(estimate, "grp").withColumn("logd", _log_distance(names))
-    middle = _group_quantile(placed, ["grp"], F.col("logd"), 0.5, "mid")
+    middle = materialize(_group_quantile(placed, ["grp"], F.col("logd"), 0.5, "mid"), "mcd-mid")
+    upper = _group_quantile(placed, ["grp"], F.col("logd"), 0.75, "high")
     # A scale under 1 would widen the cut of groups that the least deviations already keep tight.
-    return materialize(estimate.join(middle.select("grp", F.greatest(F.exp("mid") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "grp"), "mcd")
+    scale = F.greatest(F.exp("mid") / CHI2_MEDIAN, F.lit(1.0))
+    cuts = middle.join(upper, "grp").withColumn("scale", scale).withColumn("q", F.exp("high") / F.col("scale"))
+    cut = F.greatest(F.lit(CHI2_CUT), F.col("q") * F.pow(F.col("q") / CHI2_QUARTILE, 1.5))
+    return materialize(estimate.join(cuts.select("grp", "scale", cut.alias("cut")), "grp"), "mcd")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, lang, source): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
     (fewer than 50 words, or more than half of them in repeated three-word windows), distance (squared, robust) and kept.
 
-    A row that passes the base rules is rejected if its distance in its language and source exceeds CUTOFF. Estimates use all rows
-    that pass the base rules. Null languages and sources are groups of their own. Where even the group of all has fewer than
-    LEAST_GROUP rows, distance is null and the base rules alone decide. Null and empty texts fail the base rules. Repeated
-    rows count each. An empty table gives no rows. Other columns are ignored.
+    A row that passes the base rules is rejected if its distance exceeds its group's cut; the group is its language and source, or where
+    these have fewer than LEAST_GROUP rows its language, else the table. Estimates use all rows of the group that pass the base rules, so
+    every such row is judged. Null languages and sources are groups of their own. Null and empty texts fail the base rules
+    and have no distance. Repeated rows count each. An empty table gives no rows. Other columns are ignored.
     """
     stats = text_statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     stats = materialize(_vectors(stats), "rules-stats")
     groups = materialize(_groups(stats.where("not base_failed")), "rules-groups")
     on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     grouped = stats.join(groups, on, "left").drop("g_lang", "g_source")
-    passed = materialize(grouped.where("not base_failed and grp is not null").select("grp", *VECTOR), "rules-vectors")
+    passed = materialize(grouped.where("not base_failed").select(F.explode("into").alias("grp"), *VECTOR), "rules-vectors")
     estimates = robust_estimates(passed)
     judged = grouped.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(VECTOR)) / F.col("scale")))
     return judged.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
-        (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cut"), F.lit(False))).alias("kept"),
     )

@@ -315,6 +315,27 @@ def test_robust_outliers(spark):
     assert all(got[i].kept for i in range(200)) and not any(got[1000 + i].kept for i in range(30))
 
 
+def test_moderate_repetition_is_an_outlier(spark):
+    """In a group where nothing repeats, in a small source that leans on its language, and in a table too small for covariances."""
+    rng = random.Random(14)
+
+    def text(repeats=0.0, lines=0.0, symbols=0):
+        words = prose(rng, 200, 10**6).split()
+        rows = [" ".join(words[k : k + 10]) for k in range(0, 200, 10)]
+        if repeats:  # whole lines again, the line breaks moved, so that only windows repeat
+            again = " ".join(rows[: int(10 * repeats)])
+            rows = [again, *rows[int(20 * repeats) :], again + " end"]
+        return "\n".join(rows + ["so"] * round((lines * len(rows) + 1) / (1 - lines) if lines else 0)) + " #" * symbols
+
+    bad = [dict(repeats=0.3), dict(repeats=0.4), dict(lines=0.3), dict(repeats=0.4, lines=0.4), dict(symbols=30)]
+    clean = [(i, text(), "en", "s", 1) for i in range(200)] + [(200 + i, text(), "en", "small", 1) for i in range(5)]
+    rows = clean + [(1000 + i, text(**k), "en", s, 1) for s in ("s", "small") for i, k in enumerate(bad)] + [(1100 + i, text(**k), "xx", None, 1) for i, k in enumerate(bad)]
+    for table in (rows, rows[:40] + rows[205:210]):
+        got = quality_rules.quality_rules(frame(spark, table)).collect()
+        assert all(not r.base_failed and r.distance is not None for r in got)
+        assert {(r.doc_id, r.source) for r in got if r.kept} == {(r[0], r[3]) for r in table if r[0] < 1000}
+
+
 def test_token_counts_match_the_library(spark):
     path = token_count.default_path()
     counter = token_count.TokenCounter(open(path).read())
