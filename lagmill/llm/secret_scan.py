@@ -124,42 +124,38 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, str, str, bool]]
     the text itself and else names the decodings that uncovered the match; their span is what encodes the match.
 
     A worklist holds layers. Each is scanned once; URL and Unicode escapes give the whole layer decoded, every base64 run gives its content, unpacked
-    while compressed. A layer met before at the same place is not entered again, so the list ends.
+    while compressed. A layer met before at the same place is not entered again, so the list ends. A layer's path holds the spans of the runs
+    around it; matches are told apart by path, offsets in the innermost run and secret, so that several in one run are all returned.
     """
     text = text or ""
-    found: dict[tuple[str, int, int], tuple[str, str, bool]] = {}
-    whole = np.arange(len(text), dtype=np.int64) if "%" in text or "\\" in text or "&#" in text else None
-    work = [(text, whole, None if whole is None else whole + 1, (0, len(text)), "", False)]
+    found: dict[tuple, tuple[str, bool]] = {}
+    work = [(text, None, None, (), "", False)]
     seen = set()
     while work:
-        layer, starts, ends, place, via, cut = work.pop(0)
-        mark = (hashlib.blake2b(layer.encode(), digest_size=16).digest(), place)
+        layer, starts, ends, path, via, cut = work.pop(0)
+        mark = (hashlib.blake2b(layer.encode(), digest_size=16).digest(), path)
         if mark in seen:
             continue
         seen.add(mark)
 
         def at(s: int, e: int) -> tuple[int, int]:
-            if starts is None:
-                return (s, e) if not via else place
-            return int(starts[s]), int(ends[e - 1])
+            return (s, e) if starts is None else (int(starts[s]), int(ends[e - 1]))
 
         for kind, s, e in base_spans(layer):
-            found.setdefault((kind, *at(s, e)), (via, layer[s:e], cut))
+            found.setdefault((kind, path, *at(s, e), layer[s:e]), (via, cut))
         for name, decode, sign in (("url", _url_layer, "%"), ("unicode", _escape_layer, None)):
             if sign is not None and sign not in layer or sign is None and "\\" not in layer and "&#" not in layer:
                 continue
             if (got := decode(layer)) is None:
                 continue
             new, s, e = got
-            if starts is None and via:  # inside a packed layer every character stands for the whole run
-                work.append((new, None, None, place, f"{via}>{name}", cut))
-            else:
-                origin = (s, e) if starts is None else (starts[s], ends[e - 1])
-                work.append((new, *origin, place, f"{via}>{name}".lstrip(">"), cut))
+            origin = (s, e) if starts is None else (starts[s], ends[e - 1])
+            work.append((new, *origin, path, f"{via}>{name}".lstrip(">"), cut))
         for s, e, inner, how, was_cut in _packed_layers(layer):
-            work.append((inner, None, None, at(s, e), f"{via}>{how}".lstrip(">"), cut or was_cut))
+            work.append((inner, None, None, (*path, at(s, e)), f"{via}>{how}".lstrip(">"), cut or was_cut))
     order = {k: i for i, k in enumerate(KINDS)}
-    return sorted(((*k, *v) for k, v in found.items()), key=lambda x: (x[1], order[x[0]], x[2]))
+    spans = ((kind, *(path[0] if path else (s, e)), via, secret, cut) for (kind, path, s, e, secret), (via, cut) in found.items())
+    return sorted(spans, key=lambda x: (x[1], order[x[0]], x[2]))
 
 
 FINDINGS = "array<struct<kind:string,start:bigint,end:bigint,via:string,secret:string,cut:boolean>>"

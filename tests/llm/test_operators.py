@@ -209,6 +209,17 @@ def test_secret_layers():
     assert secret_scan.find_secrets("ſecret=abcdefghijklmnop") == [] and secret_scan.find_secrets(None) == []
 
 
+def test_every_secret_of_one_layer_is_found():
+    secrets = [f"password=abcdef12345{k}XY" for k in range(5)]
+    inner = "\n".join([*secrets, secrets[0], "a%20b token%3Dabcdef1234567"])
+    for data, via in ((inner.encode(), "base64"), (gzip.compress(inner.encode()), "base64+unpack")):
+        code = base64.b64encode(data).decode()
+        found = secret_scan.find_secrets(f"x {code} y")
+        assert [x[:3] for x in found] == [("assign", 2, 2 + len(code))] * 7
+        assert Counter(x[4] for x in found) == Counter([*secrets, secrets[0], "token=abcdef1234567"])
+        assert Counter(x[3] for x in found) == {via: 6, f"{via}>url": 1}
+
+
 def test_secret_scan_of_plain_text_is_the_base_patterns(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in secret_scan.secret_digests(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
