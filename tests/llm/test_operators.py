@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -220,6 +221,32 @@ def test_every_secret_of_one_layer_is_found():
         assert Counter(x[3] for x in found) == {via: 6, f"{via}>url": 1}
 
 
+def test_layers_are_read_whole(monkeypatch):
+    secret, rng = "password=abcdef123456XY", random.Random(3)
+    noise = " ".join(f"{rng.random()}" for _ in range(60))
+    inner = f"{noise} {secret} {noise}"
+    wrap = lambda data, sep="\n": sep.join(re.findall(".{1,64}", base64.b64encode(data).decode()))
+    b64 = lambda data: base64.b64encode(data).decode()
+    quoted = urllib.parse.quote(gzip.compress(inner.encode()))
+    half = gzip.compress((inner + " ".join(f"{rng.random()}" for _ in range(600))).encode())
+    texts = {
+        "wrapped": wrap(inner.encode()), "crlf": wrap(inner.encode(), "\r\n"), "literal": wrap(inner.encode(), "\\n"), "gzip": wrap(gzip.compress(inner.encode())),
+        "prose": f"a line ending in internationalisation\n{wrap(inner.encode())}\nand so on", "members": b64(gzip.compress(b"one") + bz2.compress(inner.encode())),
+        "latin": b64(inner.encode() + b"\xe9"), "utf16": b64(inner.encode("utf-16")), "colour": b64(b"\x1b[1m" + inner.encode()), "percent": quoted,
+        "short": b64(half[: len(half) * 2 // 3]),
+    }
+    for name, code in texts.items():
+        got = [x for x in secret_scan.find_secrets(f"x {code} y") if x[4] == secret]
+        assert len(got) == 1 and got[0][5] == (name == "short"), (name, got)
+    monkeypatch.setattr(secret_scan, "PIECE", 1000)
+    monkeypatch.setattr(secret_scan, "WINDOW", 4000)
+    monkeypatch.setattr(secret_scan, "MARGIN", 400)
+    many = "".join(f"{noise[:100]} password=abcdef{k:06d}XY " for k in range(500))
+    for data in (many.encode(), many.encode("utf-16")):
+        got = [x for x in secret_scan.find_secrets(b64(gzip.compress(data))) if x[0] == "assign"]
+        assert sorted(x[4] for x in got) == [f"password=abcdef{k:06d}XY" for k in range(500)] and not any(x[5] for x in got)
+
+
 def test_secret_scan_of_plain_text_is_the_base_patterns(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in secret_scan.secret_digests(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
