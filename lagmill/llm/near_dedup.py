@@ -211,7 +211,12 @@ def _full_sets(ids: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     side = ids.toDF("doc_id")
     side = F.broadcast(side) if ids.count() <= MOST_SENT else side
     texts = docs.join(side, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary"))
-    return materialize(texts.mapInArrow(_set_batches, "id bigint, full binary"), "nd-sets", parts)
+    sets = materialize(texts.mapInArrow(_set_batches, "id bigint, full binary"), "nd-sets", parts)
+    if sets.count() == ids.count():
+        return sets
+    once = materialize(sets.distinct(), "nd-sets", parts)  # repeated rows
+    discard(sets)
+    return once
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
@@ -280,13 +285,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = base.drop("sketch").join(classes, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_key").isNotNull(), F.coalesce("first_id", "doc_id")).alias("id")
     )
-    reps = known.join(classes, "set_key", "left").where("first_id is null or first_id = doc_id").select(F.col("doc_id").alias("id"), "sketch", "n_shingles")
+    # One row per id and set: a repeated row's set is in a class.
+    shape = (F.col("doc_id").alias("id"), "sketch", "n_shingles")
+    classed = known.join(classes, "set_key").where("first_id = doc_id").dropDuplicates(["doc_id", "set_key"])
+    reps = known.join(classes, "set_key", "left_anti").select(*shape).unionByName(classed.select(*shape))
     reps = materialize(reps, "nd-reps", parts)
     bands = materialize(reps.select("id", "sketch").mapInArrow(_band_batches, "key bigint, id bigint"), "nd-bands")
-    # Buckets with the same members are one: most groups of copies meet in many bands.
+    # Buckets with the same members are one: most groups of copies meet in many bands. An id with several sets may occur more than once in a
+    # bucket, where it cancels in the exclusive or, but not in the sums.
+    h = F.xxhash64("id")
+    sums = (F.sum(F.shiftright(h, 31)), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 31)))
     buckets = (
         bands.groupBy("key")
-        .agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"))
+        .agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"), F.struct(F.bit_xor(h), *sums).alias("members"))
         .where("n > 1")
         .groupBy("leader", "n", "members")
         .agg(F.min("key").alias("key"))
