@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 GRAM, WINDOW = 3, 3
 #: Words by which an alignment may drift from its diagonal, and the share of a template that a match must cover.
 BAND, COVERAGE = 8, 0.8
+#: Templates of fewer words are looked up by every three words of a document, since winnowing may pass over the few that they share.
+SHORT = 15
 _TOKEN = re.compile(r"[^\W_]+")
 
 #: Public licence notices and texts.
@@ -71,14 +74,10 @@ def tokens(text: str) -> list[str]:
 
 def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Winnowed fingerprints of a word-hash sequence and their positions: the smallest (rightmost of equal) of every window."""
-    n = len(hashes) - GRAM + 1
+    g = grams(hashes)
+    n = len(g)
     if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    with np.errstate(over="ignore"):
-        g = hashes[:n].copy()
-        for i in range(1, GRAM):
-            g = (g ^ (g >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
-        g ^= g >> np.uint64(32)
+        return g, np.empty(0, np.int64)
     if n <= WINDOW:
         at = np.array([n - 1 - int(g[::-1].argmin())])
     else:
@@ -87,6 +86,19 @@ def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[at], at
 
 
+def grams(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of GRAM words."""
+    n = len(hashes) - GRAM + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        g = hashes[:n].copy()
+        for i in range(1, GRAM):
+            g = (g ^ (g >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+        g ^= g >> np.uint64(32)
+    return g
+
+
 class TemplateIndex:
     """Inverted index from fingerprint to (template, position). Of a template with few words every fingerprint is kept, not
     only the winnowed ones, since the words around it in a document decide which of them that document keeps."""
@@ -98,22 +110,23 @@ class TemplateIndex:
         for t, words in enumerate(self.words):
             h = hashed(words)
             for i in range(len(words) - GRAM + 1):
-                grams, at = fingerprints(h[i : i + GRAM])
-                for g in grams:
+                for g in grams(h[i : i + GRAM]):
                     entries[int(g)].append((t, i))
         self.entries = dict(entries)
         self.keys = np.array(sorted(entries), np.uint64)
 
     def candidates(self, h: np.ndarray) -> dict[int, list[int]]:
         """Template -> diagonals (document position less template position) of common fingerprints."""
-        grams, at = fingerprints(h)
+        every, (_, at) = grams(h), fingerprints(h)
+        winnowed = np.zeros(len(every), bool)
+        winnowed[at] = True
         out: dict[int, list[int]] = defaultdict(list)
-        if len(grams) and len(self.keys):
-            k = np.searchsorted(self.keys, grams)
-            hit = np.flatnonzero(self.keys[np.minimum(k, len(self.keys) - 1)] == grams)
-            for i in hit:
-                for t, p in self.entries[int(grams[i])]:
-                    out[t].append(int(at[i]) - p)
+        if len(every) and len(self.keys):
+            k = np.searchsorted(self.keys, every)
+            for i in np.flatnonzero(self.keys[np.minimum(k, len(self.keys) - 1)] == every):
+                for t, p in self.entries[int(every[i])]:
+                    if winnowed[i] or len(self.words[t]) < SHORT:
+                        out[t].append(int(i) - p)
         return out
 
 
@@ -164,6 +177,21 @@ def scan_text(text: str | None, index: TemplateIndex, coverage: float = COVERAGE
         for m in kept:
             if all(m[2] < c[1] or m[1] > c[2] for c in chosen):
                 chosen.append(m)
+        # Pieces on several diagonals, as insertions leave them, count together if what lies between them isn't longer than the template.
+        wide, last, need, ds = [], None, Counter(template), sorted(set(diagonals))
+        for i, d in enumerate(ds):
+            top = ds[bisect_right(ds, d + len(template)) - 1]
+            if top - d <= BAND // 2 or last == top and i and d - ds[i - 1] <= BAND // 2:
+                continue
+            last = top
+            around = Counter(words[max(0, d - BAND) : top + len(template) + BAND])
+            if (need & around).total() >= coverage * len(template):
+                n, first, end = align(template, words, (d + top) // 2, BAND + (top - d + 1) // 2)
+                if n >= coverage * len(template):
+                    wide.append((n, first, end))
+        for m in sorted(wide, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if all(m[2] < c[1] or m[1] > c[2] for c in chosen):
+                chosen.append(m)
         out += [(index.names[t], n / len(template), spans[a][0], spans[b][1]) for n, a, b in chosen]
     return sorted(out, key=lambda x: (x[2], x[0]))
 

@@ -436,6 +436,19 @@ def test_licenses():
     assert len(license_scan.scan_text(twice, index)) == 2
 
 
+def test_licenses_with_insertions_and_changed_words():
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    mit = license_scan.TEMPLATES["MIT"]
+    extra = "The Software shall be used for Good, not quite Evil."
+    text = f"before {mit.replace('THE SOFTWARE IS', extra + ' THE SOFTWARE IS')} after"
+    found = [x for x in license_scan.scan_text(text, index) if x[0] == "MIT"]
+    assert found == [("MIT", 1.0, 7, len(text) - 7)]
+    rng = random.Random(12)
+    for k in range(30):  # whatever stands around the four words
+        text = f"{prose(rng, 20)} issued{k} under the MIT License. {prose(rng, 20)}"
+        assert [x[:2] for x in license_scan.scan_text(text, index) if x[0] == "MIT-short"] == [("MIT-short", 0.8)]
+
+
 def test_alignment_is_the_longest_common_subsequence_of_the_band():
     rng = random.Random(6)
     for _ in range(50):
