@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from lagmill.llm.common import lower_ascii, materialize, split_words
 
 WINDOW = 10
-#: Terms that may be sent to all executors as a set (a few MB at most); a larger vocabulary is joined instead.
-MOST_SENT = 100_000
+#: Words that the two rarest terms of an item may stand apart in a proximity match.
+NEAR = 8
+#: Postings of one term that one task reads, about; those of a more frequent term are dealt to more tasks by their document.
+HOT = 5_000_000
 #: Fixed value: what separates the words of documents and items, once A-Z are lower case.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+ROW = ("doc_id", "th")
 
 
 def item_words(text: Column) -> Column:
@@ -19,7 +22,8 @@ def item_words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Distinct windows of items (item_id, text): win (words joined by spaces), len, and the sorted ids of the items that hold it."""
+    """Distinct windows of items (item_id, text): win (words joined by spaces), len, items (sorted ids of the items that hold it) and
+    set, a name of that list."""
     n = F.size("w")
     starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).when(n > 0, F.array(F.lit(1)))
     return (
@@ -28,128 +32,141 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
         .select("item_id", F.array_join(F.slice("w", F.col("s"), F.lit(width)), " ").alias("win"))
         .groupBy("win")
         .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-        .withColumn("len", F.size(F.split("win", " ")))
+        .withColumns({"len": F.size(F.split("win", " ")), "set": F.sha2(F.to_json("items"), 256)})
     )
 
 
-def _sent(terms: DataFrame) -> str | None:
-    """The terms as an SQL list if few enough to send; words hold no quote or backslash."""
-    got = [r[0] for r in terms.limit(MOST_SENT + 1).collect()]
-    return None if len(got) > MOST_SENT else ", ".join(f"'{t}'" for t in got) or "''"
+def words_table(docs: DataFrame) -> DataFrame:
+    """doc_id, th (text hash: with doc_id it names a row), n_words and the array of words, written once: the only pass that splits texts."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), item_words(F.col("text")).alias("w"))
+    return materialize(rows.withColumn("n_words", F.size("w").cast("long")), "decon-words")
 
 
-def _words_table(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash: with doc_id it names a row) and one lower-cased word array."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), item_words(F.col("text")).alias("w"))
+def term_frequencies(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: how often each of the terms occurs in all documents; only those that occur."""
+    tokens = words.select(F.explode("w").alias("term")).join(terms.select("term"), "term", "left_semi")
+    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n: how often each of the terms occurs in all documents; only those that occur."""
-    few, words = _sent(terms), _words_table(docs)
-    if few is not None:
-        tokens = words.select(F.explode(F.expr(f"filter(w, x -> x in ({few}))")).alias("term"))
-        return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counts = words.select(F.explode("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(terms, "term", "left_semi")
-
-
-def token_postings(docs: DataFrame, terms: DataFrame, reach: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, th, n_words and its postings of the given terms: (term, pos, from, context), context
-    being the words from position `from`, less than `reach` words to either side of pos."""
-    post = f"""transform({{positions}}, p -> named_struct('term', get(w, p), 'pos', p, 'from', greatest(p - {reach - 1}, 0),
-               'context', slice(w, greatest(p - {reach - 1}, 0) + 1, p + {reach - 1} - greatest(p - {reach - 1}, 0) + 1)))"""
-    few, words = _sent(terms), _words_table(docs)
-    if few is not None:
-        positions = f"if(size(w) = 0, array(), filter(sequence(0, size(w) - 1), i -> get(w, i) in ({few})))"
-        return words.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), F.expr(post.format(positions=positions)).alias("postings"))
-    found = (
-        words.select("doc_id", "th", F.posexplode("w").alias("pos", "term"))
-        .join(terms, "term", "left_semi")
-        .groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t"))
-        .agg(F.collect_set("pos").alias("positions"))
-    )
-    joined = words.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
-    return joined.select(
-        "doc_id", "th", F.size("w").cast("long").alias("n_words"),
-        F.expr(post.format(positions="coalesce(positions, cast(array() as array<int>))")).alias("postings"),
-    )
+def positional_index(words: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The inverted index: term, doc_id, th and the sorted positions of the term in that row.
 
+    It holds every position of the given terms, and of every pair (a, b) of terms the positions where the pair stands side by side: a
+    position whose neighbours occur beside it in no pair can be part of no phrase made of the pairs, so it is not stored. Postings of
+    frequent words thus stay in proportion to what phrases can use.
+    """
+    tokens = words.select(*ROW, "w", F.posexplode("w").alias("pos", "term")).select(*ROW, "pos", "term", F.get("w", F.col("pos") + 1).alias("next"))
+    found = tokens.join(pairs.select(F.col("a").alias("term"), F.col("b").alias("next"), F.lit(True).alias("paired")), ["term", "next"], "left")
+    found = found.join(terms.select("term", F.lit(True).alias("listed")), "term", "left").where("paired or listed")
+    one = lambda pos, term: F.struct(pos.alias("pos"), term.alias("term"))
+    here, behind = one(F.col("pos"), F.col("term")), one(F.col("pos") + 1, F.col("next"))
+    post = F.explode(F.when(F.col("paired"), F.array(here, behind)).otherwise(F.array(here)))
+    return found.select(*ROW, post.alias("p")).groupBy(*ROW, "p.term").agg(F.sort_array(F.collect_set("p.pos")).alias("positions"))
 
-def rarest_terms(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Windows whose words all occur in the corpus, each with its rarest term (ties: first in order) and that term's offset."""
-    words = windows.select("win", "len", "items", F.posexplode(F.split("win", " ")).alias("offset", "term"))
-    return (
-        words.join(frequencies, "term")
-        .groupBy("win", "len", "items")
-        .agg(F.min(F.struct("n", "term", "offset")).alias("rare"), F.count(F.lit(1)).alias("known"))
-        .where("known = len")
-        .select("win", "len", "items", "rare.term", "rare.offset")
-    )
 
+def _ranked(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Windows whose words all occur in the corpus: win, len and terms, their (n, term, offset) from the rarest on."""
+    words = windows.select("win", "len", F.posexplode(F.split("win", " ")).alias("offset", "term"))
+    known = words.join(frequencies, "term").groupBy("win", "len").agg(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("terms"))
+    return known.where(F.size("terms") == F.col("len"))
 
-def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(rows, matches): rows has doc_id, th, n_words of each document; matches has doc_id, th, start, len, items of every
-    place where a window of an item occurs word for word.
 
-    Postings are read from the rarest term of each window outward: the posting's position less the term's offset is the
-    only start it allows, and the words around it decide.
-    """
-    windows = materialize(item_windows(items, width), "decon-windows")
-    vocabulary = materialize(windows.select(F.explode(F.split("win", " ")).alias("term")).distinct(), "decon-terms")
-    frequencies = materialize(term_frequencies(docs, vocabulary), "decon-tf")
-    anchors = materialize(rarest_terms(windows, frequencies), "decon-anchors")
-    rows = materialize(token_postings(docs, anchors.select("term").distinct(), width), "decon-postings")
-    postings = rows.select("doc_id", "th", F.explode("postings").alias("p")).select("doc_id", "th", "p.*")
-    start = F.col("pos") - F.col("offset")
-    same = F.array_join(F.slice("context", start - F.col("from") + 1, F.col("len")), " ") == F.col("win")
-    matches = postings.join(anchors, "term").where(start >= 0).where(same)
-    return rows.drop("postings"), matches.select("doc_id", "th", start.alias("start"), "len", "items")
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, distance: int = 8) -> DataFrame:
-    """Places where the two rarest terms of an item stand at most `distance` words apart: doc_id, item_id, first_pos, second_pos.
-
-    Items with fewer than two different terms that occur in the corpus give nothing. Position buckets of `distance` words make the
-    comparison an equality join.
+def _bucket(count: Column) -> Column:
+    """Part of a term's postings to which a row belongs, of one part per HOT postings."""
+    return F.pmod(F.xxhash64(*ROW), F.ceil(count / HOT).cast("int")).cast("int")
+
+
+def phrase_matches(index: DataFrame, windows: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """doc_id, th, start, len, win of every place where a window occurs word for word, by intersecting posting lists.
+
+    A list adjusted by its term's offset holds the starts that the term allows. The rarest term's adjusted list gives the candidates, the
+    second rarest's is intersected with it document by document; the others, of which the remaining starts need one posting each, are
+    intersected together, by counting. Lists of frequent terms are dealt by document, so no list has to pass through one task.
     """
-    words = items.select("item_id", F.explode(F.array_distinct(item_words(F.col("text")))).alias("term"))
-    frequencies = materialize(term_frequencies(docs, words.select("term").distinct()), "decon-tf")
-    by_rarity = Window.partitionBy("item_id").orderBy("n", "term")
-    ranked = words.join(frequencies, "term").withColumn("k", F.row_number().over(by_rarity)).where("k <= 2")
-    probes = materialize(ranked.select("item_id", "term", "k"), "decon-probes")
-    rows = token_postings(docs, probes.select("term").distinct(), 1)
-    posts = materialize(rows.select("doc_id", "th", F.explode("postings").alias("p")).select("doc_id", "th", "p.term", "p.pos"), "decon-near")
-    first = posts.join(probes.where("k = 1").drop("k"), "term").select("doc_id", "th", "item_id", F.col("pos").alias("first_pos"))
-    second = posts.join(probes.where("k = 2").drop("k"), "term").select(
-        F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("item_id").alias("i"), F.col("pos").alias("second_pos"))
+    ranked = materialize(_ranked(windows, frequencies), "decon-ranked")
+    adjusted = lambda positions, offset: F.filter(F.transform(positions, lambda p: p - F.col(offset)), lambda s: s >= 0)
+    first = ranked.select("win", F.col("terms")[0]["n"].alias("n"), F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["offset"].alias("offset"))
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / HOT).cast("int") - 1))).drop("n")
+    hot = frequencies.where(F.col("n") > HOT)
+    dealt = index.join(hot, "term", "left").withColumn("part", F.coalesce(_bucket(F.col("n")), F.lit(0))).drop("n")
+    starts = dealt.join(first, ["term", "part"]).select(*ROW, "win", adjusted("positions", "offset").alias("starts")).where(F.size("starts") > 0)
+    starts = starts.join(ranked, "win").select(*ROW, "win", "len", "starts", F.get("terms", F.lit(1)).alias("t"), F.slice("terms", 3, 2**30).alias("rest"))
+    starts = materialize(starts, "decon-starts")
+
+    other = index.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("term").alias("u"), "positions")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))
+    second = starts.where("len > 1").join(other, same & (F.col("t.term") == F.col("u")))
+    second = second.withColumn("starts", F.array_intersect("starts", adjusted("positions", "t.offset")))
+    left = second.where(F.size("starts") > 0).select(*ROW, "win", "len", F.explode("starts").alias("start"), "rest")
+    left = materialize(left.unionByName(starts.where("len = 1").select(*ROW, "win", "len", F.explode("starts").alias("start"), "rest")), "decon-left")
+
+    wanted = left.where("len > 2").select(*ROW, "win", "len", "start", F.explode("rest").alias("t"))
+    wanted = wanted.withColumn("at", F.col("start") + F.col("t.offset"))
+    places = other.select("d", "h", "u", F.explode("positions").alias("p"))
+    counted = wanted.join(places, same & (F.col("t.term") == F.col("u")) & (F.col("at") == F.col("p"))).groupBy(*ROW, "win", "len", "start").agg(F.count(F.lit(1)).alias("c"))
+    return counted.where("c = len - 2").drop("c").unionByName(left.where("len <= 2").select(*ROW, "win", "len", "start"))
+
+
+def rarest_pairs(items: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """item_id, first, second: the two rarest different terms of each item that occur in the corpus (ties: in order of the terms)."""
+    words = items.select(F.col("item_id").cast("string").alias("item_id"), F.explode(F.array_distinct(item_words(F.col("text")))).alias("term"))
+    order = F.array_sort(F.collect_set(F.struct("n", "term")))
+    two = words.join(frequencies, "term").groupBy("item_id").agg(order.alias("o")).where(F.size("o") > 1)
+    return two.select("item_id", F.col("o")[0]["term"].alias("first"), F.col("o")[1]["term"].alias("second"))
+
+
+def proximity_matches(index: DataFrame, probes: DataFrame, distance: int = NEAR) -> DataFrame:
+    """doc_id, th, item_id, first_pos, second_pos of all places where the two terms of a probe (item_id, first, second) stand at most
+    `distance` words apart. Position cells of `distance` words make the comparison an equality join."""
+    pairs = probes.select("first", "second").distinct()
+    posts = index.select(*ROW, "term", F.explode("positions").alias("pos"))
+    one = posts.join(pairs, posts["term"] == pairs["first"]).select(*ROW, "first", "second", F.col("pos").alias("first_pos"))
+    two = posts.join(pairs, posts["term"] == pairs["second"]).select(
+        F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("first").alias("f"), F.col("second").alias("s"), F.col("pos").alias("second_pos"))
     cell = F.floor(F.col("first_pos") / distance)
-    first = first.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    second = second.withColumn("c", F.floor(F.col("second_pos") / distance))
-    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & F.col("item_id").eqNullSafe(F.col("i")) & (F.col("cell") == F.col("c"))
-    near = first.join(second, on).where(F.abs(F.col("first_pos") - F.col("second_pos")) <= distance)
-    return near.select("doc_id", "item_id", "first_pos", "second_pos").distinct()
+    one = one.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    two = two.withColumn("c", F.floor(F.col("second_pos") / distance))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & (F.col("first") == F.col("f")) & (F.col("second") == F.col("s"))
+    near = one.join(two, same & (F.col("cell") == F.col("c"))).where(F.abs(F.col("first_pos") - F.col("second_pos")) <= distance)
+    near = near.select(*ROW, "first", "second", "first_pos", "second_pos").distinct()
+    return near.join(probes, ["first", "second"]).select(*ROW, "item_id", "first_pos", "second_pos")
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per row of docs (doc_id, text): n_words, n_hit (words inside any occurrence of an item's window), n_items (items with an
-    occurring window), item_ids (sorted strings), items_sha256 and contaminated.
+def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, distance: int = NEAR) -> DataFrame:
+    """Per row of docs (doc_id, text): th (text hash), n_words, n_hit (words inside any occurrence of an item's window), n_items (items
+    with an occurring window), item_ids (sorted strings), items_sha256, contaminated, and n_near (items whose two rarest terms stand at
+    most `distance` words apart; a hint, it doesn't make a row contaminated).
 
     A window is `width` consecutive words of an item, or all words of a shorter one. Null and empty texts have no words; null item ids
-    are left out of item_ids. Rows with equal doc_id and text get equal results. Without items nothing is contaminated; an
-    empty docs table gives no rows. Other columns are ignored.
+    are left out of item_ids and n_near. Rows with equal doc_id and text get equal results. Without items nothing is contaminated; an
+    empty docs table gives no rows. Texts of any length are indexed whole. Other columns are ignored.
     """
-    rows, matches = phrase_matches(docs.select("doc_id", "text"), items.select("item_id", "text"), width)
-    matches = materialize(matches.distinct(), "decon-matches")
-    places = matches.groupBy("doc_id", "th", "start").agg(F.max(F.col("start") + F.col("len")).alias("stop"))
-    before = Window.partitionBy("doc_id", "th").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    items = items.select("item_id", "text")
+    windows = materialize(item_windows(items, width), "decon-windows")
+    rows = words_table(docs.select("doc_id", "text"))
+    vocabulary = items.select(F.explode(item_words(F.col("text"))).alias("term")).distinct()
+    frequencies = materialize(term_frequencies(rows, vocabulary), "decon-tf")
+    probes = materialize(rarest_pairs(items.where("item_id is not null"), frequencies), "decon-probes")
+    whole = probes.select(F.explode(F.array("first", "second")).alias("term")).unionByName(windows.where("len = 1").select(F.col("win").alias("term"))).distinct()
+    w = F.split("win", " ")
+    beside = F.transform(F.sequence(F.lit(1), F.col("len") - 1), lambda i: F.struct(F.get(w, i - 1).alias("a"), F.get(w, i).alias("b")))
+    pairs = windows.where("len > 1").select(F.explode(beside).alias("p")).select("p.a", "p.b").distinct()
+    index = materialize(positional_index(rows, whole, pairs), "decon-index")
+
+    matches = materialize(phrase_matches(index, windows, frequencies), "decon-matches")
+    places = matches.groupBy(*ROW, "start").agg(F.max(F.col("start") + F.col("len")).alias("stop"))
+    before = Window.partitionBy(*ROW).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0)))
-    hits = places.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy("doc_id", "th").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    named = matches.select("doc_id", "th", F.explode("items").alias("item_id")).groupBy("doc_id", "th").agg(
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    found = hits.join(named, hits["doc_id"].eqNullSafe(named["doc_id"]) & (hits["th"] == named["th"]), "left").select(
-        hits["doc_id"].alias("d"), hits["th"].alias("t"), "n_hit", "item_ids")
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        ids.alias("item_ids"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    hits = places.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy(*ROW).agg(F.sum("fresh").cast("long").alias("n_hit"))
+    # Lists of items meet a row once, however many windows share them.
+    sets = matches.join(windows.select("win", "set"), "win").select(*ROW, "set").distinct()
+    named = sets.join(windows.select("set", "items").dropDuplicates(["set"]), "set").select(*ROW, F.explode("items").alias("item_id"))
+    named = named.groupBy(*ROW).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    near = proximity_matches(index, probes, distance).groupBy(*ROW).agg(F.count_distinct("item_id").alias("n_near"))
+    for name, table in (("n_hit", hits), ("item_ids", named), ("n_near", near)):
+        rows = rows.join(table.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), name), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left").drop("d", "h")
+    ids, n_hit = F.coalesce("item_ids", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("long")
+    return rows.select(
+        "doc_id", "th", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

@@ -42,7 +42,7 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +134,20 @@ grams AS (
   FROM dw, lengths WHERE len(w) >= n),
 found AS (SELECT g.doc_id, g.n, g.i, w.item_id FROM grams g JOIN windows w USING (n, win)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id),
+tokens AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM dw),
+frequencies AS (SELECT t, count(*) AS n FROM tokens WHERE t IN (SELECT unnest(w) FROM iw) GROUP BY t),
+ranked AS (
+  SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY n, t) AS k
+  FROM (SELECT DISTINCT item_id, unnest(w) AS t FROM iw WHERE item_id IS NOT NULL) JOIN frequencies USING (t)),
+near AS (
+  SELECT x.doc_id, count(DISTINCT a.item_id) AS n_near
+  FROM ranked a JOIN ranked b ON a.item_id = b.item_id AND a.k = 1 AND b.k = 2 JOIN tokens x ON x.t = a.t
+  JOIN tokens y ON y.t = b.t AND y.doc_id = x.doc_id AND abs(x.i - y.i) <= 8
+  GROUP BY x.doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 #: Fixed value: 3988292384 is the reversed polynomial of the CRC-32.

@@ -289,7 +289,7 @@ def test_secret_scan_of_plain_text_is_the_base_patterns(spark):
         assert (got[doc_id].n_assign, got[doc_id].n_access, got[doc_id].n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
 
 
-def test_contamination_matches_brute_force(spark):
+def test_contamination_matches_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     items = [(i, prose(rng, rng.choice([3, 9, 10, 11, 30]), 60)) for i in range(30)] + [(98, ""), (99, None), (97, "É é Word-two 3")]
     rows = []
@@ -318,19 +318,40 @@ def test_contamination_matches_brute_force(spark):
 
     for i, t, *_ in rows:
         assert (got[i].n_words, got[i].n_hit, got[i].item_ids) == expected(t)
-    decontaminate.MOST_SENT, kept = 0, decontaminate.MOST_SENT  # the way for vocabularies too large to send
-    try:
-        other = {r.doc_id: r for r in decontaminate.contamination(frame(spark, rows), table).collect()}
-    finally:
-        decontaminate.MOST_SENT = kept
-    assert other == got
-
-
-def test_proximity(spark):
-    docs = frame(spark, [(1, "alpha x x beta", "en", "s", 1), (2, "alpha " + "x " * 20 + "beta", "en", "s", 1), (3, "x x", "en", "s", 1)])
-    items = spark.createDataFrame([(5, "beta alpha"), (6, "gone")], "item_id long, text string")
-    got = [tuple(r) for r in decontaminate.proximity_matches(docs, items, 5).collect()]
-    assert got == [(1, 5, 0, 3)]
+    monkeypatch.setattr(decontaminate, "HOT", 3)  # lists of almost every term dealt by document
+    assert {r.doc_id: r for r in decontaminate.contamination(frame(spark, rows), table).collect()} == got
+
+    seen, pairs = Counter(w for _, t, *_ in rows for w in words_of(t, pattern)), {}
+    for item, t in items:
+        known = sorted({w for w in words_of(t, pattern) if w in seen}, key=lambda w: (seen[w], w))
+        if len(known) > 1:
+            pairs[item] = known[:2]
+    for i, t, *_ in rows:
+        at = defaultdict(list)
+        for k, w in enumerate(words_of(t, pattern)):
+            at[w].append(k)
+        assert got[i].n_near == sum(any(abs(x - y) <= 8 for x in at[a] for y in at[b]) for a, b in pairs.values())
+
+
+def test_contamination_without_items_and_in_repeated_ids(spark):
+    docs = frame(spark, [(1, "a b c", "en", "s", 1), (1, "x y z", "en", "s", 1), (1, "a b c", "en", "s", 1), (None, "q a b c", "en", "s", 1), (None, None, "en", "s", 1)])
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert {(r.n_hit, r.n_items, r.n_near, r.contaminated) for r in decontaminate.contamination(docs, none).collect()} == {(0, 0, 0, False)}
+    items = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "y")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, items).collect())
+    assert got == [(0, 0, 0, 0), (0, 4, 3, 1), (1, 3, 1, 0), (1, 3, 3, 1), (1, 3, 3, 1)]
+
+
+def test_index_keeps_what_phrases_and_probes_use(spark):
+    docs = frame(spark, [(1, "alpha x x beta", "en", "s", 1), (2, "alpha " + "x " * 20 + "beta", "en", "s", 1), (3, "x x", "en", "s", 1), (4, "y beta x", "en", "s", 1)])
+    words = decontaminate.words_table(docs)
+    terms = spark.createDataFrame([("alpha",)], "term string")
+    index = decontaminate.positional_index(words, terms, spark.createDataFrame([("beta", "x")], "a string, b string"))
+    assert sorted((r.doc_id, r.term, r.positions) for r in index.collect()) == [(1, "alpha", [0]), (2, "alpha", [0]), (4, "beta", [1]), (4, "x", [2])]
+    both = spark.createDataFrame([("alpha",), ("beta",)], "term string")
+    index = decontaminate.positional_index(words, both, spark.createDataFrame([], "a string, b string"))
+    probes = spark.createDataFrame([("5", "beta", "alpha")], "item_id string, first string, second string")
+    assert [tuple(r)[:1] + tuple(r)[2:] for r in decontaminate.proximity_matches(index, probes, 5).collect()] == [(1, "5", 3, 0)]
 
 
 def test_classifier_held_out_accuracy(spark):
