@@ -1,7 +1,7 @@
 """Corpus pipeline over documents: classify quality, drop near-duplicates and benchmark passages, mix the sources, shard.
 
-Each stage is written as Parquet and reread as the next one's input. Stages join their decisions back by doc_id, which
-names a document here; rows with a null doc_id can't be named and stay, but for the classifier, which scores every row itself.
+Each stage is written as Parquet and reread as the next one's input. A document is a row. Decisions on it are joined back by doc_id and
+text hash, so rows that share a doc_id but not a text are told apart. Stages ignore columns beside COLUMNS; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,30 +20,47 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good."""
+    """Documents that the classifier predicts to be good. Null and empty texts are scored like any other; repeated rows share their score."""
     model = train(docs, read_table(spark, sf_dir, "labels"))
     return docs.select(*COLUMNS).where(score_column(model, F.col("text")) >= 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    """One document of each near-duplicate group: the one with the smallest id.
+
+    Rows equal in doc_id and text are one document, of which one row stays. Rows that share a doc_id with another text go by a hash
+    of both instead, so that neither falls with the other. Null ids can't be compared: their rows stay, once per text.
+    Null and empty texts are like no other and stay.
+    """
+    docs = docs.select(*COLUMNS)
+    th = F.xxhash64("text")
+    copies = materialize(docs.groupBy("doc_id", th.alias("_th")).agg(F.count(F.lit(1)).alias("n")), "pipeline-copies")
+    shared = copies.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_shared"))
+    named = docs.join(shared, F.col("doc_id") == F.col("_shared"), "left")
+    named = named.withColumn("_name", F.when(F.col("_shared").isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "text"))).drop("_shared")
+    dropped = near_duplicates(named.select(F.col("_name").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_name")).distinct()
+    left = named.join(dropped, "_name", "left_anti").withColumn("_th", th).drop("_name")
+    repeated = copies.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t"))
+    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_th"])
+    return left.join(repeated, same, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    dropped = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    """Documents without a benchmark passage. Null and empty texts hold none and stay, rows with a null doc_id are judged like others."""
+    found = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated")
+    dropped = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_t")).distinct()
+    docs = docs.select(*COLUMNS)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]) & (F.xxhash64("text") == F.col("_t")), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target asks for."""
+    """Every document as often as its source's target asks for. Null sources are one source; repeated rows each have their own draw."""
     return mix(docs.select(*COLUMNS))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard, slot and grown shard of every row; copies of a document share its shard."""
+    """Shard, slot and grown shard of every row; copies of a document share its shard, null ids are one key."""
     return shard(docs)
 
 
