@@ -95,8 +95,25 @@ def test_stages_on_odd_and_empty_tables(spark):
             if not data:
                 assert got == [], name
             elif name == "near_dedup":
-                assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 2, 3, 3, 4]  # repeated rows are one document, rows without an id stay
+                assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 2, 3, 4]  # repeated rows are one document, rows without an id stay
             elif name == "decontamination":
                 assert len(got) == len(rows)
             elif name == "sharding":
                 assert sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 2, 3, 3, 4, 5]
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Of rows with one doc_id only those fall that are copies or contaminated themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 12").first().text
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    near = text("a") + " end"
+    rows = [(i, t, "en", "s", 1) for i, t in (
+        (3, text("a")), (7, text("a")), (7, text("b")), (9, text("c")), (8, near), (8, text("d")), (8, text("d")), (5, item), (5, text("e")), (None, item), (None, text("f")))]
+    docs = spark.createDataFrame(rows, schema)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    groups = {text("a"): 0, near: 0}
+    kept = Counter(t if t not in groups else "group" for (_, t), n in got.items() for _ in range(n))
+    assert kept == Counter(["group", text("b"), text("c"), text("d"), item, item, text("e"), text("f")])
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, SF).collect())
+    assert got == Counter((i, t) for i, t, *_ in rows if t != item)
