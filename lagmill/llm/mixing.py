@@ -53,12 +53,13 @@ def _strata(rows: DataFrame, digits: int) -> DataFrame:
 
 
 def with_copies(rows: DataFrame, sizes: DataFrame, seed: str = "mix") -> DataFrame:
-    """rows (doc_id, source, size and any others) with source_size, target and copies, sizes being a written table of the same
-    doc_id, source and size.
+    """rows (doc_id, source, size, th and any others) with source_size, target and copies, sizes being a written table of the same
+    doc_id, source, size and th (text hash).
 
-    copies is floor(rate) whole copies, rate = target / source_size, plus a Bernoulli copy with probability equal to the fraction. A source's draws
-    are made together, so that their sum stays near its expectation even for few or very unequal documents: in order of size class and
-    hash of the id, document i takes a copy when u + i * fraction passes a whole number, u being the source's hash-seeded uniform number.
+    copies is floor(rate) whole copies, rate = target / source_size, plus a Bernoulli copy with probability equal to the fraction. The draws of
+    one source depend on each other, so that their sum stays near its expectation even for few or very unequal documents: in order of size
+    class and hash of the id (then id, size and text hash), document i takes a copy when u + i * fraction passes a whole number, u being the
+    source's hash-seeded uniform number. A document that comes or goes may hence change draws of the larger documents of its source.
     Positions are numbered in buckets of a source, size class and hash prefix, and offset by the counts of the buckets before.
     """
     digits = max(1, ceil(log(max(1, sizes.count() / BUCKET_ROWS), 16)))
@@ -67,8 +68,9 @@ def with_copies(rows: DataFrame, sizes: DataFrame, seed: str = "mix") -> DataFra
     buckets = buckets.withColumn("_off", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
     targets = source_targets(sizes).withColumnRenamed("source", "_source")
     buckets = buckets.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source", "_n")
-    place = F.row_number().over(Window.partitionBy("_s", "_c", "_p").orderBy("_k", "doc_id"))
-    placed = _strata(rows, digits).withColumn("_i", place).join(buckets, ["_s", "_c", "_p"])
+    order = ["_k", "doc_id", "size", "th", *([F.xxhash64("_row")] if "_row" in rows.columns else [])]
+    placed = _strata(rows, digits)
+    placed = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_s", "_c", "_p").orderBy(*order))).join(buckets, ["_s", "_c", "_p"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     placed = placed.withColumn("_f", rate - F.floor(rate)).withColumn("_u", uniform(F.col("source"), seed)).withColumn("_i", F.col("_off") + F.col("_i"))
     extra = F.floor(F.col("_u") + F.col("_i") * F.col("_f")) - F.floor(F.col("_u") + (F.col("_i") - 1) * F.col("_f"))
@@ -76,14 +78,14 @@ def with_copies(rows: DataFrame, sizes: DataFrame, seed: str = "mix") -> DataFra
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th")), "mix-sizes")
 
 
 def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """Per document (doc_id, source, text): size in words, source_size, target of its source, copies and taken = size * copies.
 
-    Null texts have size 0. Null sources are one source, last in order. A null doc_id hashes as the empty string; repeated
-    rows each have their own place and draw. An empty table gives no rows. Other columns are ignored.
+    Null texts have size 0. Null sources are one source, last in order. A null doc_id hashes as the empty string; rows with one
+    doc_id each have their own place and draw, in order of size and text hash. An empty table gives no rows. Other columns are ignored.
     """
     rows = _sizes(docs)
     plan = with_copies(rows, rows, seed)
@@ -92,6 +94,6 @@ def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every row of docs as often as mix_plan says, columns unchanged."""
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
     copied = with_copies(rows, _sizes(docs), seed).where("copies > 0")
     return copied.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")

@@ -88,7 +88,7 @@ targets AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          ('0x' || substr(md5('mix:' || coalesce(s.source, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u,
-         row_number() OVER (PARTITION BY s.source ORDER BY floor(sqrt(s.size::DOUBLE)), md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id) AS i
+         row_number() OVER (PARTITION BY s.source ORDER BY floor(sqrt(s.size::DOUBLE)), md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size) AS i
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + floor(u + i * (rate - floor(rate))) - floor(u + (i - 1) * (rate - floor(rate)))))::BIGINT AS taken FROM placed
