@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagmill.operators import graphs
 from lagmill.sources.tables import materialize
 
 AXES = ("x", "y", "z")
@@ -55,22 +56,11 @@ def despeckle(lags: DataFrame, threshold: float, radius: float = 1.75, keys: tup
 
 
 def components(mask: DataFrame, cell_id: str, radius: float = 1.0) -> DataFrame:
-    """mask (x, y, z, cell_id) with component: the smallest id among the cells reachable over neighbours within radius.
-
-    Labels move to the neighbours' minimum and then on to the label's own label, so paths halve each round. A round is two joins on
-    checkpointed tables; the driver only counts changes."""
+    """mask (x, y, z, cell_id) with component: the smallest id among the cells reachable over neighbours within radius."""
     cells = mask.select(*AXES, F.col(cell_id).alias("id"))
-    edges = materialize(neighbors(cells, radius).select("id", "n_id"), "grid-edges")
-    labels = materialize(cells.select("id", F.col("id").alias("label")), "grid-labels")
-    while True:
-        near = edges.join(labels.toDF("n_id", "n_label"), "n_id").groupBy("id").agg(F.min("n_label").alias("n_label"))
-        lower = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("n_label", "label")).alias("low"), "label")
-        jump = lower.select(F.col("id").alias("low"), F.col("low").alias("next"))
-        new = materialize(lower.join(jump, "low").select("id", F.least("low", "next").alias("label"), (F.least("low", "next") != F.col("label")).alias("moved")), "grid-labels")
-        if not new.where("moved").limit(1).count():
-            break
-        labels = new.drop("moved")
-    return mask.join(labels.select(F.col("id").alias(cell_id), F.col("label").alias("component")), cell_id)
+    found = graphs.components(neighbors(cells, radius).where("id < n_id"), "id", "n_id")
+    rows = mask.join(found.select(F.col("id").alias(cell_id), "component"), cell_id, "left")
+    return rows.withColumn("component", F.coalesce("component", cell_id))
 
 
 def local_correlation(grid: DataFrame, radius: float) -> DataFrame:

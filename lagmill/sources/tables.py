@@ -6,29 +6,69 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Paths of tables that materialize() wrote and nothing has deleted.
+_written: dict[str, None] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one of this process only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Only a local master may do without: it gets a temporary folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lagmill-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, which cuts its lineage."""
-    path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage and outlives lost executors. parts: in so many tasks and files
+    at most, for a table known to be small; it has no effect where there are fewer."""
+    path = new_path(df.sparkSession, label)
+    if parts:
+        df = df.coalesce(parts)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lagmill_path = path
+    _written[path] = None
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written.pop(path, None)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_lagmill_path", None):
+            remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end whatever tables were written inside, but for those put into the list it gives."""
+    before, keep = set(_written), []
+    yield keep
+    kept = {getattr(df, "_lagmill_path", None) for df in keep}
+    for path in [p for p in _written if p not in before and p not in kept]:
+        remove(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
