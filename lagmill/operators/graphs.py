@@ -15,7 +15,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an undirected edge list as (id, component), component the smallest id.
 
     Alternates large-star and small-star rounds; each is one aggregation and one join over the edges, so no group has to
-    meet in one task. Every round is written to the shared folder, in as many tasks as its edges ask for. Ids without an
+    meet in one task. Every half round is written to the shared folder, in as many tasks as its edges ask for. Ids without an
     edge don't appear.
     """
     cur = materialize(
@@ -25,13 +25,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     parts = 8 + seen[0] // TASK_EDGES
     while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low", parts)
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large", parts)
-        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-down", parts)
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "cc", parts)
         now = _digest(new)
-        discard(low, large, down, cur)
+        discard(large, cur)
         cur = new
         if now == seen:
             break
