@@ -1,60 +1,22 @@
-"""Helpers shared by the training-data operators: shared work folder, text expressions, connected components."""
+"""Helpers shared by the training-data operators: text expressions and star labels, beside the library's work folder and components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagmill.operators.graphs import components
+from lagmill.sources.tables import discard, materialize, new_path, remove, scratch, table, work_dir
+
+__all__ = ["components", "discard", "let", "lower_ascii", "materialize", "new_path", "read_table", "remove", "scratch", "split_words", "star_labels", "work_dir"]
+
 #: Fixed value: the ASCII white space that separates words.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of this process only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if base:
-        return base.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="lagmill-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and outlives lost executors. parts: in so many tasks and files
-    at most, for a table known to be small; it has no effect where there are fewer."""
-    path = new_path(df.sparkSession, label)
-    if parts:
-        df = df.coalesce(parts)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lagmill_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    path = getattr(df, "_lagmill_path", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def let(value: Column, body) -> Column:
@@ -73,48 +35,9 @@ def split_words(text: Column, between: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), between), "")
 
 
-#: Edges that one task of components() takes, about.
-TASK_EDGES = 500_000
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Connected components of an undirected edge list as (id, component), component the smallest id.
-
-    Alternates large-star and small-star rounds; each is one aggregation and one join over the edges, so no group has to
-    meet in one task. Every round is written to the shared folder, in as many tasks as its edges ask for. Ids without an
-    edge don't appear.
-    """
-    cur = materialize(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc"
-    )
-    seen = _digest(cur)
-    parts = 8 + seen[0] // TASK_EDGES
-    while seen[0]:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low", parts)
-        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large", parts)
-        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-down", parts)
-        small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "cc", parts)
-        now = _digest(new)
-        for old in (low, large, down, cur):
-            discard(old)
-        cur = new
-        if now == seen:
-            break
-        seen = now
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
-
-
 def star_labels(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): each id's smallest neighbour or itself, then that one's. Ids with one label are connected, the reverse need not hold:
     one cheap step towards components()."""
     both = edges.select(F.col(a).alias("id"), F.col(b).alias("o")).unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("o")))
     first = materialize(both.groupBy("id").agg(F.min("o").alias("o")).select("id", F.least("id", "o").alias("m")), "cc-first")
     return first.join(first.toDF("m", "component"), "m").select("id", "component")
-
-
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

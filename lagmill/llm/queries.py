@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagmill.llm.common import materialize, new_path, read_table
+from lagmill.llm.common import materialize, new_path, read_table, remove, scratch
 from lagmill.llm.decontaminate import contamination
 from lagmill.llm.license_scan import license_matches
 from lagmill.llm.mixing import mix_plan
@@ -20,50 +20,62 @@ from lagmill.llm.warc import assemble, capture_pages, read_archives, write_archi
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; trained on the labelled rows that are not held out."""
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice found in the documents."""
     return license_matches(read_table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     plan = mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the secrets found in every document."""
     return secret_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document, and how many items stand near."""
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
     return shard(read_table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
     found = quality_rules(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
     return token_counts(read_table(spark, sf_dir, "documents"), default_path())
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as WARC records, read back and assembled; the archives go once their records are a table."""
     path = new_path(spark, "warc")
-    write_archives(read_table(spark, sf_dir, "pages"), path)
+    with scratch(spark):
+        write_archives(read_table(spark, sf_dir, "pages"), path)
     records = materialize(read_archives(spark, path, with_payload=False), "warc-records")  # three joins read them
+    remove(spark, path)
     pages = capture_pages(assemble(records))
-    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -178,7 +190,7 @@ r AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first_id, row_number()
 SELECT page_id, n AS payload_bytes,
        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
-       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first_id END AS refers_to
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first_id END AS refers_to, true AS digest_ok
 FROM r
 """
 

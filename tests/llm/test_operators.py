@@ -484,7 +484,7 @@ def test_alignment_is_the_longest_common_subsequence_of_the_band():
 
 def test_warc_round_trip(spark, tmp_path):
     pages = [(5, "http://a.example/x?y#z", "<p>same</p>"), (3, "http://b.example/", "<p>same</p>"), (9, None, None), (8, "no scheme", ""), (7, "http://c.example", "é\r\n\r\nWARC/1.1\r\n\r\n"), (3, "http://b.example/", "<p>same</p>"), (None, "u\r\nv", "lone")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as sha", "2 as body")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as sha", "2 as body", "3 as copy", "4 as salt", "5 as r_sha", "6 as record_id", "7 as n_bytes")
     path = f"file://{tmp_path}/warc"
     warc.write_archives(df, path)
     records = warc.read_archives(spark, path)
@@ -493,7 +493,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(rows) == 7 and all(r.n_requests == 1 and r.n_metadata == 1 and r.request.head.startswith("GET ") for r in rows)
     payloads = sorted(bytes(r.capture.payload).decode() for r in rows if r.capture.type == "response")
     assert payloads == sorted(["<p>same</p>", "", "é\r\n\r\nWARC/1.1\r\n\r\n", "lone"])
-    assert all(r.capture.digest_ok for r in rows if r.capture.type == "response")
+    assert all(r.capture.computed_digest == r.capture.payload_digest for r in rows if r.capture.type == "response")
     got = sorted(((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.capture_pages(captures).collect()), key=str)
     digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     same, none, odd = digest("<p>same</p>"), digest(""), "é\r\n\r\nWARC/1.1\r\n\r\n"
@@ -501,11 +501,28 @@ def test_warc_round_trip(spark, tmp_path):
         (3, 11, same, "response", None), (3, 11, same, "revisit", 3), (5, 11, same, "revisit", 3), (8, 0, none, "response", None), (9, 0, none, "revisit", 8),
         (7, len(odd.encode()), digest(odd), "response", None), (-1, 4, digest("lone"), "response", None),
     ], key=str)
+    assert all(r.digest_ok for r in warc.capture_pages(captures).collect())
+    archive = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").glob("part*.gz"))
+    (tmp_path / "damaged").mkdir()
+    (tmp_path / "damaged" / "a.warc").write_bytes(archive.replace(b"<p>same</p>", b"<p>sane</p>").replace(b"page-id: 7", b"page-id: 6"))
+    found = {r.page_id: r for r in warc.capture_pages(warc.assemble(warc.read_archives(spark, f"file://{tmp_path}/damaged"))).collect()}
+    assert not found[5].digest_ok and found[5].payload_digest == digest("<p>sane</p>") and found[6].digest_ok and not found[3].digest_ok
     empty = f"file://{tmp_path}/empty"
     warc.write_archives(df.limit(0), empty)
     assert warc.capture_pages(warc.assemble(warc.read_archives(spark, empty))).count() == 0
 
 
+def test_warc_frames_and_a_long_page(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 1000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    pages = [(i, f"http://a.example/{i}", "x" * (2_000_000 if i == 5 else 100 * i)) for i in range(40)]
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    assert len(list((tmp_path / "warc").glob("part*.gz"))) > 5
+    rows = warc.capture_pages(warc.assemble(warc.read_archives(spark, path))).collect()
+    assert {r.page_id: r.payload_bytes for r in rows} == {i: len(t) for i, _, t in pages} and all(r.digest_ok for r in rows)
+
+
 def test_hashes_of_shingles_follow_the_words():
     text = "Alpha beta  GAMMA\tdelta epsilon zeta".encode()
     assert len(near_dedup.shingle_set(text)) == 2 and len(near_dedup.shingle_set(b"a b c d")) == 1 and len(near_dedup.shingle_set(None)) == 0
