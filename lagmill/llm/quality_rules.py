@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import logging
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagmill.llm.common import SPACE, let, materialize, split_words
+from lagmill.llm.common import SPACE, discard, let, materialize, split_words
 
-#: Share of a group's rows on which the minimum-covariance-determinant estimate rests, and concentration steps towards it.
-CORE, STEPS = 0.75, 4
-#: Rows that an estimate needs for a language and source of its own; below, the estimate of the whole language stands, then that of the table.
-LEAST_GROUP = 100
-#: Quantiles of a chi-squared variable with five degrees of freedom: the median, to which each group's distances are scaled, the quartile from
-#: which a group's fence is measured, and that of 0.9999, the least cut. Tukey's outer limit of its logarithm, 1.5 quartile
+#: Share of a group's rows on which the minimum-covariance-determinant estimate rests.
+CORE = 0.75
+#: Rows that an estimate of an own group needs (statistics + 2), and rows that weigh as much as what the wider group says.
+LEAST_GROUP, SHRINK = 7, 100
+#: Concentration goes on until no group's log-determinant falls by more than STILL; that takes finitely many steps, and MOST_STEPS guards against rounding.
+STILL, MOST_STEPS = 1e-3, 50
+#: Quantiles of a chi-squared variable with five degrees of freedom: the median, to which each group's distances are scaled, the lower quartile, from
+#: which a group's fence is measured, the upper one, and that of 0.9999, the least cut. Tukey's outer limit of its logarithm, 1.5 quartile
 #: ranges above the upper quartile, is 25.8, the same; a group whose upper quartile is larger has heavier tails and a wider cut.
-CHI2_MEDIAN, CHI2_QUARTILE, CHI2_CUT = 4.351, 2.675, 25.745
+CHI2_MEDIAN, CHI2_QUARTILE, CHI2_HIGH, CHI2_CUT = 4.351, 2.675, 6.626, 25.745
 #: The transformed statistics with the least standard deviation that an estimate may give each: what counting alone gives the root of a share
 #: (1 / (2 sqrt(n))) over n = 100 lines or words, or over some 600 characters.
 VECTOR = {"x_length": 0.02, "x_symbols": 0.02, "x_lines": 0.05, "x_repeats": 0.05, "x_upper": 0.02}
 BIN = 1 / 512
+#: The group of all rows; groups whose few numbers are sent to all tasks, at most.
+TABLE, MOST_SENT = "table", 20_000
+#: Repeated windows of a text that are looked up one by one.
+FEW = 16
+_log = logging.getLogger(__name__)
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in three-word windows found twice or more. Hashes of the windows tell whether any repeats; only then are positions sorted."""
+    """Words in three-word windows found twice or more. Hashes of the windows tell whether any repeats; only then are positions looked for:
+    among few repeated windows one by one, else by sorting."""
     n = F.size(words)
     grams = F.transform(F.slice(words, 1, n - 2), lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)))
 
@@ -32,7 +43,15 @@ def _repeat_words(words: Column) -> Column:
         inside = F.flatten(F.transform(let(order, again), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
         return F.size(F.array_distinct(inside))
 
-    found = let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g)))
+    def looked_up(g: Column, again: Column) -> Column:
+        inside = F.flatten(F.transform(F.filter(F.transform(g, lambda h, i: F.when(F.array_contains(again, h), i)), lambda i: i.isNotNull()), lambda i: F.array(i, i + 1, i + 2)))
+        return F.size(F.array_distinct(inside))
+
+    def repeated(g: Column) -> Column:
+        again = let(F.sort_array(g), lambda s: F.array_distinct(F.filter(s, lambda x, k: x == F.get(s, k + 1))))
+        return let(again, lambda a: F.when(F.size(a) <= FEW, looked_up(g, a)).otherwise(covered(g)))
+
+    found = let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(repeated(g)))
     return F.when(n < 3, F.lit(0)).otherwise(found)
 
 
@@ -67,17 +86,19 @@ def _vectors(stats: DataFrame) -> DataFrame:
     })
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """lang, source -> grp, whose estimate judges their rows, and into, all groups whose estimates rest on their rows. grp is their own if they
-    have enough rows, else the whole language if that has, else the table. The windows run over one row per language and source."""
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, source -> own, whole and grp; tree). own is the group of a language and source, whole that of the language, each null
+    with fewer than LEAST_GROUP rows; grp, whose estimate judges the rows, is the narrowest, else the table. tree: grp, parent, depth and n of all
+    groups that get an estimate. Windows run over one row per language and source."""
     per = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    by_lang, table = Window.partitionBy("lang"), F.lit("table")
-    own = F.when(F.col("n") >= LEAST_GROUP, F.concat(F.lit("source "), F.to_json(F.struct("lang", "source"))))
-    lang = F.when(F.sum("n").over(by_lang) >= LEAST_GROUP, F.concat(F.lit("lang "), F.to_json(F.struct("lang"))))
-    per = per.withColumns({"own": own, "whole": lang}).withColumn("grp", F.coalesce("own", "whole", table))
-    needed = lambda label, within: F.max(F.col("grp") == label).over(within)
-    into = F.array(F.col("own"), F.when(needed(F.col("whole"), by_lang), F.col("whole")), F.when(needed(table, Window.partitionBy(F.lit(0))), table))
-    return per.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "grp", F.array_compact(into).alias("into"))
+    enough = lambda n, label: F.when(n >= LEAST_GROUP, label)
+    own = enough(F.col("n"), F.concat(F.lit("source "), F.to_json(F.struct("lang", "source"))))
+    whole = enough(F.sum("n").over(Window.partitionBy("lang")), F.concat(F.lit("lang "), F.to_json(F.struct("lang"))))
+    per = per.withColumn("own", own).withColumn("whole", whole).withColumn("grp", F.coalesce("own", "whole", F.lit(TABLE)))
+    node = lambda grp, parent, depth: F.struct(grp.alias("grp"), parent.cast("string").alias("parent"), F.lit(depth).alias("depth"))
+    nodes = F.array(node(F.col("own"), F.col("whole"), 2), node(F.col("whole"), F.lit(TABLE), 1), node(F.lit(TABLE), F.lit(None), 0))
+    tree = per.select(F.explode(nodes).alias("g"), "n").where("g.grp is not null").groupBy("g.grp", "g.parent", "g.depth").agg(F.sum("n").alias("n"))
+    return per.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "own", "whole", "grp"), tree
 
 
 def _group_quantile(rows: DataFrame, keys: list[str], value: Column, share: float, name: str) -> DataFrame:
@@ -91,7 +112,8 @@ def _group_quantile(rows: DataFrame, keys: list[str], value: Column, share: floa
 
 
 def _whitened(estimate: DataFrame) -> DataFrame:
-    """The estimate (grp, m_i, c_i_j) with w_i_j, the inverse of its covariance's Cholesky factor. Column by column, on one row a group."""
+    """The estimate (grp, start, n, parent, depth, m_i, c_i_j) with w_i_j, the inverse of its covariance's Cholesky factor, and logdet, the covariance's
+    log-determinant, instead of c_i_j. Column by column, on one row a group."""
     d = len(VECTOR)
     for i in range(d):
         for j in range(i + 1):
@@ -106,7 +128,33 @@ def _whitened(estimate: DataFrame) -> DataFrame:
                 dot = dot + F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}")
             estimate = estimate.withColumn(f"w_{i}_{j}", -dot / F.col(f"l_{i}_{i}"))
         estimate = estimate.withColumn(f"w_{i}_{i}", 1 / F.col(f"l_{i}_{i}"))
-    return estimate.select("grp", *(f"m_{i}" for i in range(d)), *(f"w_{i}_{j}" for i in range(d) for j in range(i + 1)))
+    logdet = sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(d)), F.lit(0.0))
+    return estimate.select("grp", "start", "n", "parent", "depth", logdet.alias("logdet"), *(f"m_{i}" for i in range(d)), *(f"w_{i}_{j}" for i in range(d) for j in range(i + 1)))
+
+
+def _numbers() -> list[str]:
+    d = len(VECTOR)
+    return [*(f"m_{i}" for i in range(d)), *(f"c_{i}_{j}" for i in range(d) for j in range(i + 1))]
+
+
+def _shrunk(own: DataFrame, wider: DataFrame, on: list[str], names: list[str]) -> DataFrame:
+    """own with its numbers moved towards those of the wider estimate: n**2 / (n**2 + SHRINK**2) of its own. The squares let large groups go:
+    the wider estimate holds the spread between groups, which would widen theirs for ever."""
+    n = F.col("n").cast("double")
+    w = n * n / (n * n + SHRINK**2)
+    other = wider.select(*on, *(F.col(c).alias(f"p_{c}") for c in names))
+    rest = [c for c in own.columns if c not in names]
+    return own.join(other, on).select(*rest, *((w * F.col(c) + (1 - w) * F.col(f"p_{c}")).alias(c) for c in names))
+
+
+def _blended(raw: DataFrame, base: DataFrame, names: list[str], on: list[str]) -> DataFrame:
+    """Every group's numbers shrunk towards its parent's, from the table down; the table's towards those of base. The tables have
+    one row per group (and start)."""
+    top = _shrunk(raw.where("depth = 0"), base, on, names)
+    rename = lambda df: df.withColumn("parent", F.col("grp"))
+    mid = _shrunk(raw.where("depth = 1"), rename(top), ["parent", *on], names)
+    low = _shrunk(raw.where("depth = 2"), rename(mid), ["parent", *on], names)
+    return top.unionByName(mid).unionByName(low)
 
 
 def _distance(names: list[str]) -> Column:
@@ -125,8 +173,9 @@ def _log_distance(names: list[str]) -> Column:
     return F.log(F.greatest(_distance(names), F.lit(1e-9)))
 
 
-def _start(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Starting estimate: medians, and squared scales from the interquartile ranges, without correlation."""
+def _starts(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Starting estimates of every grp: 0, medians and squared scales from the interquartile ranges, without correlation; 1, means and
+    covariances of all rows."""
     pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(c).alias("x")) for i, c in enumerate(names))))
     long = rows.select("grp", pairs.alias("v")).select("grp", "v.dim", "v.x")
     bins = long.groupBy("grp", "dim", F.floor(F.col("x") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -138,39 +187,61 @@ def _start(rows: DataFrame, names: list[str]) -> DataFrame:
     q = q.withColumn("var", F.pow((F.col("hi") - F.col("lo")) / 1.349, 2) + F.pow(least, 2))
     pick = lambda i, c: F.max(F.when(F.col("dim") == i, F.col(c)))
     zero = [F.lit(0.0).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i)]
-    out = q.groupBy("grp").agg(*(pick(i, "mid").alias(f"m_{i}") for i in range(len(names))), *(pick(i, "var").alias(f"c_{i}_{i}") for i in range(len(names))))
-    return out.select("*", *zero)
+    robust = q.groupBy("grp").agg(*(pick(i, "mid").alias(f"m_{i}") for i in range(len(names))), *(pick(i, "var").alias(f"c_{i}_{i}") for i in range(len(names))))
+    robust = robust.select("grp", F.lit(0).alias("start"), "*", *zero).select("grp", "start", *_numbers())
+    return robust.unionByName(_moments(rows.withColumn("start", F.lit(1)), names))
+
+
+def _moments(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Means and covariances of each grp and start; the least standard deviations are added to the variances."""
+    covar = lambda i, a, j, b: (F.covar_pop(a, b) + (VECTOR[a] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}")
+    cells = [covar(i, a, j, b) for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])]
+    return rows.groupBy("grp", "start").agg(*(F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)), *cells)
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimate per grp of rows with the vector columns: m_i, w_i_j (inverse Cholesky factor), scale and cut.
+def robust_estimates(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """Minimum-covariance-determinant estimate of every group of tree (grp, parent, depth, n) from rows (own, whole and the vector columns):
+    grp, m_i, w_i_j (inverse Cholesky factor), scale and cut.
 
-    Concentration steps from a median start: the CORE share of a group's rows nearest to the current estimate gives the next
-    mean and covariance, which never raises the determinant. The least standard deviations are added to the
-    variances, so that statistics that hardly vary keep a finite distance. scale brings the median distance to its normal value; cut is
-    the scaled distance beyond which a row is an outlier, from the group's upper quartile and at least CHI2_CUT. Fewer than LEAST_GROUP rows
-    in all don't bear covariances: their estimate is the start.
+    Concentration steps from two starts: the CORE share of a group's rows nearest to the current estimate gives the next mean and covariance,
+    until no determinant falls; of the two the smaller determinant stands. Means and covariances are those of the group by n**2 / (n**2 + SHRINK**2),
+    else those of the language, which lean on the table's alike, and these on its medians and quartiles: so a group of any size has an
+    estimate, and large ones have their own. The least standard deviations are added to the variances, so that statistics that hardly
+    vary keep a finite distance. scale brings the median distance to its normal value; cut is the scaled distance beyond which a row
+    is an outlier, from the group's upper quartile and at least CHI2_CUT.
     """
-    names = list(VECTOR)
-    estimate = materialize(_whitened(_start(rows, names)), "mcd-0")
-    steps = STEPS if rows.limit(LEAST_GROUP).count() >= LEAST_GROUP else 0
-    for k in range(steps):
-        placed = rows.join(estimate, "grp").withColumn("logd", _log_distance(names)).select("grp", *names, "logd")
-        edge = materialize(_group_quantile(placed, ["grp"], F.col("logd"), CORE, "edge"), "mcd-edge")
-        core = placed.join(edge, "grp").where("logd <= edge")
-        estimate = core.groupBy("grp").agg(
-            *(F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)),
-            *((F.covar_pop(a, b) + (VECTOR[a] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])),
-        )
-        estimate = materialize(_whitened(estimate), f"mcd-{k + 1}")
-    placed = rows.join(estimate, "grp").withColumn("logd", _log_distance(names))
-    middle = materialize(_group_quantile(placed, ["grp"], F.col("logd"), 0.5, "mid"), "mcd-mid")
-    upper = _group_quantile(placed, ["grp"], F.col("logd"), 0.75, "high")
+    names, key = list(VECTOR), ["grp", "start"]
+    known = F.broadcast(tree) if tree.limit(MOST_SENT + 1).count() <= MOST_SENT else tree
+    rows = rows.select(F.explode(F.array_compact(F.array("own", "whole", F.lit(TABLE)))).alias("grp"), *names)
+    raw = materialize(_starts(rows, names).join(known, "grp"), "mcd")
+    base = raw.where("depth = 0 and start = 0").drop("start").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))).select("start", *_numbers())
+    base = materialize(base, "mcd-base", 1)  # two rows
+    current = materialize(_whitened(_blended(raw, base, _numbers(), ["start"])), "mcd")
+    for step in range(MOST_STEPS):
+        placed = rows.join(current, "grp").withColumn("logd", _log_distance(names)).select(*key, *names, "logd")
+        edge = _group_quantile(placed, key, F.col("logd"), CORE, "edge")
+        raw = materialize(_moments(placed.join(edge, key).where("logd <= edge"), names).join(known, "grp"), "mcd")
+        new = materialize(_whitened(_blended(raw, base, _numbers(), ["start"])), "mcd")
+        fall = current.select(*key, F.col("logdet").alias("before")).join(new, key).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        discard(current, raw)
+        current = new
+        _log.info("concentration step %d: log-determinants fell by %s at most", step + 1, fall)
+        if fall is None or fall <= STILL:
+            break
+    best = current.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
+    best = materialize(current.join(best, key).drop("start"), "mcd")
+    placed = rows.join(best, "grp").withColumn("logd", _log_distance(names)).select("grp", "logd")
+    spread = _group_quantile(placed, ["grp"], F.col("logd"), 0.5, "mid").join(_group_quantile(placed, ["grp"], F.col("logd"), 0.75, "high"), "grp")
+    spread = materialize(spread.join(known, "grp").withColumn("one", F.lit(1)), "mcd-spread")
+    normal = spread.where("depth = 0").select("one", F.lit(log(CHI2_MEDIAN)).alias("mid"), F.lit(log(CHI2_HIGH)).alias("high"))
+    spread = _blended(spread, normal, ["mid", "high"], ["one"])
     # A scale under 1 would widen the cut of groups that the least deviations already keep tight.
     scale = F.greatest(F.exp("mid") / CHI2_MEDIAN, F.lit(1.0))
-    cuts = middle.join(upper, "grp").withColumn("scale", scale).withColumn("q", F.exp("high") / F.col("scale"))
+    cuts = spread.withColumn("scale", scale).withColumn("q", F.exp("high") / F.col("scale"))
     cut = F.greatest(F.lit(CHI2_CUT), F.col("q") * F.pow(F.col("q") / CHI2_QUARTILE, 1.5))
-    return materialize(estimate.join(cuts.select("grp", "scale", cut.alias("cut")), "grp"), "mcd")
+    out = materialize(best.drop("n", "parent", "depth", "logdet").join(cuts.select("grp", "scale", cut.alias("cut")), "grp"), "mcd")
+    discard(best, current, base)
+    return out
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -184,11 +255,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """
     stats = text_statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     stats = materialize(_vectors(stats), "rules-stats")
-    groups = materialize(_groups(stats.where("not base_failed")), "rules-groups")
+    groups, tree = _groups(stats.where("not base_failed"))
+    groups, tree = materialize(groups, "rules-groups"), materialize(tree, "rules-tree")
     on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     grouped = stats.join(groups, on, "left").drop("g_lang", "g_source")
-    passed = materialize(grouped.where("not base_failed").select(F.explode("into").alias("grp"), *VECTOR), "rules-vectors")
-    estimates = robust_estimates(passed)
+    passed = materialize(grouped.where("not base_failed").select("own", "whole", *VECTOR), "rules-vectors")
+    estimates = robust_estimates(passed, tree)
+    discard(passed, tree)
     judged = grouped.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(VECTOR)) / F.col("scale")))
     return judged.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",

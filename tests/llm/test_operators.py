@@ -6,6 +6,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import urllib.parse
@@ -528,3 +529,39 @@ def test_hashes_of_shingles_follow_the_words():
     assert len(near_dedup.shingle_set(text)) == 2 and len(near_dedup.shingle_set(b"a b c d")) == 1 and len(near_dedup.shingle_set(None)) == 0
     assert (near_dedup.shingle_set(text) == near_dedup.shingle_set(text.lower())).all()
     assert near_dedup.shingle_set(b"a b")[0] == xxhash.xxh64_intdigest(b"a b")
+
+
+def test_estimate_has_the_least_determinant(spark):
+    """Concentration against all subsets of a small table: the determinant is the least one, where outliers stand apart."""
+    names = list(quality_rules.VECTOR)
+    for seed in range(2):
+        rng = np.random.default_rng(seed)
+        x = np.vstack([rng.normal([1.5, 0.2, 0.1, 0.2, 0.1], 0.02, (9, 5)), rng.normal([1.6, 0.8, 0.7, 0.6, 0.5], 0.02, (3, 5))])
+        rows = spark.createDataFrame([(None, None, *map(float, v)) for v in x], "own string, whole string, " + ", ".join(f"{c} double" for c in names))
+        tree = spark.createDataFrame([("table", None, 0, len(x))], "grp string, parent string, depth int, n long")
+        got = quality_rules.robust_estimates(rows, tree).collect()
+        assert len(got) == 1
+        w = np.zeros((5, 5))
+        for i in range(5):
+            for j in range(i + 1):
+                w[i, j] = got[0][f"w_{i}_{j}"]
+        lo, mid, hi = (np.sort(x, axis=0)[k] for k in (2, 5, 8))
+        edge = lambda v: (np.floor(v / quality_rules.BIN) + 0.5) * quality_rules.BIN
+        floor = np.diag([v**2 for v in quality_rules.VECTOR.values()])
+        wide = np.diag(((edge(hi) - edge(lo)) / 1.349) ** 2) + floor
+        share = len(x) ** 2 / (len(x) ** 2 + quality_rules.SHRINK**2)
+        blend = lambda part: share * (np.cov(part.T, bias=True) + floor) + (1 - share) * wide
+        least = min(np.linalg.slogdet(blend(x[list(c)]))[1] for c in itertools.combinations(range(12), 9))
+        center = share * x[:9].mean(axis=0) + (1 - share) * edge(mid)
+        assert -2 * np.log(np.diag(w)).sum() == pytest.approx(least, abs=1e-6)
+        assert [got[0][f"m_{i}"] for i in range(5)] == pytest.approx(center, abs=1e-9)
+
+
+def test_every_language_and_source_has_its_estimate(spark):
+    """From LEAST_GROUP rows on a group leans on its own rows, and the more so the more it has."""
+    rng = random.Random(3)
+    shout = lambda: prose(rng, 120, 2000).upper()
+    rows = [(i, prose(rng, 120, 2000), "en", "s", 1) for i in range(300)] + [(1000 + i, shout(), "en", "loud", 1) for i in range(300)]
+    rows += [(2000 + i, shout(), "en", f"loud{i}", 1) for i in range(3)] + [(3000, prose(rng, 120, 2000), "en", "loud", 1)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert all(got[i].kept for i in range(300)) and all(got[1000 + i].kept for i in range(300)) and not got[3000].kept
