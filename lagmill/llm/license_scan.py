@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 GRAM, WINDOW = 3, 3
 #: Words by which an alignment may drift from its diagonal, and the share of a template that a match must cover.
 BAND, COVERAGE = 8, 0.8
-#: Templates of fewer words are looked up by every three words of a document, since winnowing may pass over the few that they share.
+#: Templates of fewer words are looked up by single words, since a match of few words may share no run of words with them.
 SHORT = 15
+#: Letters of all templates together, at most: the index goes to every task.
+MOST_LETTERS = 50_000_000
 _TOKEN = re.compile(r"[^\W_]+")
 
 #: Public licence notices and texts.
@@ -60,6 +62,41 @@ TEMPLATES: dict[str, str] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies."
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        '"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, "
+        "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+        "product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare '
+        "derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The "
+        "copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following "
+        "disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such "
+        "copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        "under copyright law."
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
@@ -100,33 +137,40 @@ def grams(hashes: np.ndarray) -> np.ndarray:
 
 
 class TemplateIndex:
-    """Inverted index from fingerprint to (template, position). Of a template with few words every fingerprint is kept, not
-    only the winnowed ones, since the words around it in a document decide which of them that document keeps."""
+    """Inverted index from fingerprint to (template, position). Every run of GRAM words of a template is kept, since the words around
+    it in a document decide which of them that document's winnowing keeps.
+
+    Templates of fewer than SHORT words are found by single words: a match leaves out at most a (1 - coverage) share of the words, so it holds
+    one of any set larger than that. The set is the longest words, as the rarest guess."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE) -> None:
         self.names = sorted(templates)
         self.words = [tokens(templates[k]) for k in self.names]
         entries: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        single: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             h = hashed(words)
-            for i in range(len(words) - GRAM + 1):
-                for g in grams(h[i : i + GRAM]):
-                    entries[int(g)].append((t, i))
-        self.entries = dict(entries)
-        self.keys = np.array(sorted(entries), np.uint64)
+            if len(words) < SHORT:
+                some = int(len(words) * (1 - coverage) + 1e-9) + 1
+                for i in sorted(range(len(words)), key=lambda i: (-len(words[i]), i))[:some]:
+                    single[int(h[i])].append((t, i))
+            else:
+                for i in range(len(words) - GRAM + 1):
+                    for g in grams(h[i : i + GRAM]):
+                        entries[int(g)].append((t, i))
+        self.entries, self.single = dict(entries), dict(single)
+        self.keys, self.single_keys = np.array(sorted(entries), np.uint64), np.array(sorted(single), np.uint64)
 
     def candidates(self, h: np.ndarray) -> dict[int, list[int]]:
-        """Template -> diagonals (document position less template position) of common fingerprints."""
+        """Template -> diagonals (document position less template position) of common fingerprints, or of a short template's words."""
         every, (_, at) = grams(h), fingerprints(h)
-        winnowed = np.zeros(len(every), bool)
-        winnowed[at] = True
         out: dict[int, list[int]] = defaultdict(list)
-        if len(every) and len(self.keys):
-            k = np.searchsorted(self.keys, every)
-            for i in np.flatnonzero(self.keys[np.minimum(k, len(self.keys) - 1)] == every):
-                for t, p in self.entries[int(every[i])]:
-                    if winnowed[i] or len(self.words[t]) < SHORT:
-                        out[t].append(int(i) - p)
+        for hashes, keys, entries, places in ((every[at], self.keys, self.entries, at), (h, self.single_keys, self.single, np.arange(len(h)))):
+            if len(hashes) and len(keys):
+                k = np.searchsorted(keys, hashes)
+                for i in np.flatnonzero(keys[np.minimum(k, len(keys) - 1)] == hashes):
+                    for t, p in entries[int(hashes[i])]:
+                        out[t].append(int(places[i]) - p)
         return out
 
 
@@ -164,10 +208,12 @@ def scan_text(text: str | None, index: TemplateIndex, coverage: float = COVERAGE
     spans = [m.span() for m in _TOKEN.finditer(text)] if candidates else []
     for t, diagonals in candidates.items():
         template, kept = index.words[t], []
-        last = None
+        last, need = None, Counter(template)
         for d in sorted(set(diagonals)):
             if last is not None and d - last <= BAND // 2:
                 continue
+            if len(template) < SHORT and (need & Counter(words[max(0, d - BAND) : max(0, d + len(template) + BAND)])).total() < coverage * len(template):
+                continue
             last = d
             n, first, end = align(template, words, d)
             if n >= coverage * len(template):
@@ -178,7 +224,7 @@ def scan_text(text: str | None, index: TemplateIndex, coverage: float = COVERAGE
             if all(m[2] < c[1] or m[1] > c[2] for c in chosen):
                 chosen.append(m)
         # Pieces on several diagonals, as insertions leave them, count together if what lies between them isn't longer than the template.
-        wide, last, need, ds = [], None, Counter(template), sorted(set(diagonals))
+        wide, last, ds = [], None, sorted(set(diagonals))
         for i, d in enumerate(ds):
             top = ds[bisect_right(ds, d + len(template)) - 1]
             if top - d <= BAND // 2 or last == top and i and d - ds[i - 1] <= BAND // 2:
@@ -196,14 +242,25 @@ def scan_text(text: str | None, index: TemplateIndex, coverage: float = COVERAGE
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def _given(templates: dict[str, str] | DataFrame | None) -> dict[str, str]:
+    """The templates as name -> text; of a table (license, text) only as much is read as may be sent, and more is an error."""
+    if isinstance(templates, DataFrame):
+        letters = templates.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+        if letters > MOST_LETTERS:
+            raise ValueError(f"the templates have {letters} letters, more than {MOST_LETTERS} can't be sent to every task")
+        return {r["license"]: r["text"] for r in templates.select("license", "text").where("license is not null and text is not null").collect()}
+    return TEMPLATES if templates is None else templates
+
+
+def license_matches(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, coverage: float = COVERAGE) -> DataFrame:
     """Licence templates found in docs (doc_id, text): one row per match with doc_id, license, coverage, start, end (code points, end
     exclusive) and matched (that part of the text).
 
     Texts are read whole; null and empty texts match nothing. Repeated rows repeat their matches, null ids are kept, an
-    empty table gives no rows, other columns are ignored. The index is a few thousand entries from the given templates, sent to every task.
+    empty table gives no rows, other columns are ignored. templates is a dict or a table (license,
+    text), else TEMPLATES; its index is sent to every task, so more than MOST_LETTERS are an error.
     """
-    index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates))
+    index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(_given(templates), coverage))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
