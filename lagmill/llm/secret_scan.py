@@ -31,6 +31,8 @@ _BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BREAK = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t>#*]*"
 _BASE64_BLOCKS = [(re.compile(f"[{a}]{{16,}}(?:{_BREAK}[{a}]+)+={{0,2}}"), re.compile(_BREAK)) for a in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
 _PERCENT_PACKED = re.compile(r"(?:%1f%8b|(?:x|%78)(?:%01|%5e|\^|%9c|%da)|(?:B|%42)(?:Z|%5a)(?:h|%68))(?:%[0-9a-f]{2}|[\w.~!*'()/$,:;@+^-])*", re.IGNORECASE | re.ASCII)
+#: How compressed data begin, looked for behind other bytes.
+_PACKED_INSIDE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|BZh[1-9]1AY&SY|\x78[\x01\x5e\x9c\xda]")
 #: Content of compressed data is unpacked in pieces and scanned in windows of so many bytes with a margin of their neighbours, so that memory is
 #: bounded and nothing is left out; a match longer than the margin at a window's end is marked in `cut`.
 PIECE, WINDOW, MARGIN = 1 << 20, 4 << 20, 1 << 16
@@ -200,8 +202,20 @@ def _packed_layers(text: str):
 
     for start, end, run in _base64_runs(text):
         run = run.rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        yield from layers(start, end, base64.b64decode(run + "=" * (-len(run) % 4)), "base64", 0)
+        # What stands before the encoded part, a path or a slash, shifts it: all four alignments are read, of which the right one shows it.
+        for skip in range(4):
+            part = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+            if len(part) < 2:
+                continue
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            yield from layers(start, end, data, "base64", 0)
+            inside = iter(()) if _decoder(data) else _PACKED_INSIDE.finditer(data)
+            for m in inside:  # the first that unpacks takes all members behind it
+                behind = layers(start, end, data[m.start() :], "base64", 1)
+                if (first := next(behind, None)) is not None:
+                    yield first
+                    yield from behind
+                    break
     for m in _PERCENT_PACKED.finditer(text) if "%" in text else ():
         yield from layers(m.start(), m.end(), unquote_to_bytes(m[0]), "url", 1)
         if "+" in m[0]:

@@ -565,3 +565,41 @@ def test_every_language_and_source_has_its_estimate(spark):
     rows += [(2000 + i, shout(), "en", f"loud{i}", 1) for i in range(3)] + [(3000, prose(rng, 120, 2000), "en", "loud", 1)]
     got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
     assert all(got[i].kept for i in range(300)) and all(got[1000 + i].kept for i in range(300)) and not got[3000].kept
+
+
+def test_encoded_parts_behind_slashes_and_other_words():
+    key = "AKIA" + "Q7" * 8
+    inner = base64.b64encode(f"id {key} end".encode()).decode()
+    packed = base64.b64encode(gzip.compress(f"key {key} end".encode() * 3)).decode()
+    for front in ("", "/", "a/", "ab/", "abc/", "path/to/", "x_y-z/"):
+        for code in (inner, packed):
+            found = secret_scan.find_secrets(f"see {front}{code} there")
+            assert any(x[0] == "access" and x[4].startswith(key) for x in found), (front, code)
+            assert all(4 <= x[1] < x[2] <= 4 + len(front + code) for x in found)
+    for text in (f"\f{key} x", "é" * 3 + key):  # odd characters and other encodings
+        assert any(x[4] == key for x in secret_scan.find_secrets(base64.b64encode(text.encode("latin-1")).decode()))
+    two = [f"AKIA{'AB' * 7}{k}" for k in "XY"]
+    got = {x[4] for x in secret_scan.find_secrets(base64.b64encode(" ".join(two).encode()).decode())}
+    assert set(two) <= got
+    members = gzip.compress(b"first") + gzip.compress(key.encode())
+    assert any(x[4] == key for x in secret_scan.find_secrets(base64.b64encode(members).decode()))
+
+
+def test_short_licenses_against_all_alignments(spark):
+    """Edits of every template at random: what aligns at coverage anywhere is found."""
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    rng = random.Random(5)
+    assert license_scan.scan_text("Released under an MIT License.", index)[0][:2] == ("MIT-short", 0.8)
+    for name, text in license_scan.TEMPLATES.items():
+        words = license_scan.tokens(text)
+        t = index.names.index(name)
+        for k in range(12):
+            changed = [w if rng.random() > 0.03 * (k % 5) else f"q{rng.randrange(99)}" for w in words]
+            doc = prose(rng, rng.randrange(9)).split() + changed + prose(rng, rng.randrange(9)).split()
+            best = max(license_scan.align(words, doc, d)[0] for d in range(-3, len(doc) - len(words) + 4))
+            got = [m for m in license_scan.scan_text(" ".join(doc), index) if m[0] == name]
+            assert bool(got) == (best >= license_scan.COVERAGE * len(words)), (name, k)
+            assert t >= 0
+    table = spark.createDataFrame([("own", "all rights are given away"), (None, "x"), ("none", None)], "license string, text string")
+    docs = frame(spark, [(1, "here all rights are given away now", "en", "s", 1), (2, None, "en", "s", 1)])
+    assert [(r.doc_id, r.license, r.coverage) for r in license_scan.license_matches(docs, table).collect()] == [(1, "own", 1.0)]
