@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagmill.llm.common import materialize, read_table
+from lagmill.llm.common import discard, materialize, read_table, scratch
 from lagmill.llm.decontaminate import contamination
 from lagmill.llm.mixing import mix
 from lagmill.llm.near_dedup import near_duplicates
@@ -80,5 +80,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; every stage's output is a written table."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch(spark) as kept:  # a stage's own tables go once its output is written
+            docs = materialize(stage(spark, before, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
