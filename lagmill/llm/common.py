@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lagmill.operators.graphs import components
 from lagmill.sources.tables import discard, materialize, new_path, remove, scratch, table, work_dir
 
-__all__ = ["components", "discard", "let", "lower_ascii", "materialize", "new_path", "read_table", "remove", "scratch", "split_words", "star_labels", "work_dir"]
+__all__ = ["components", "discard", "let", "lower_ascii", "materialize", "new_path", "read_table", "remove", "scratch", "sent", "split_words", "star_labels", "work_dir"]
 
 #: Fixed value: the ASCII white space that separates words.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -19,6 +19,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+def sent(df: DataFrame, most: int) -> DataFrame:
+    """df, a written table, to be sent to all tasks if it has at most so many rows; else left to the planner. It makes no difference to results."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row; a plain column reference may be inlined into a lambda and recomputed."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagmill.llm.common import lower_ascii, materialize, split_words
+from lagmill.llm.common import discard, lower_ascii, materialize, sent, split_words
 
 WINDOW = 10
 #: Words that the two rarest terms of an item may stand apart in a proximity match.
 NEAR = 8
 #: Postings of one term that one task reads, about; those of a more frequent term are dealt to more tasks by their document.
 HOT = 5_000_000
+#: Rows of a table of benchmark terms, or of pairs of them, that are sent to all tasks, at most (some 50 MB); larger ones are joined by shuffles.
+MOST_SENT = 500_000
 #: Fixed value: what separates the words of documents and items, once A-Z are lower case.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 ROW = ("doc_id", "th")
@@ -44,7 +46,7 @@ def words_table(docs: DataFrame) -> DataFrame:
 
 def term_frequencies(words: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: how often each of the terms occurs in all documents; only those that occur."""
-    tokens = words.select(F.explode("w").alias("term")).join(terms.select("term"), "term", "left_semi")
+    tokens = words.select(F.explode("w").alias("term")).join(sent(terms, MOST_SENT), "term", "left_semi")
     return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -56,8 +58,9 @@ def positional_index(words: DataFrame, terms: DataFrame, pairs: DataFrame) -> Da
     frequent words thus stay in proportion to what phrases can use.
     """
     tokens = words.select(*ROW, "w", F.posexplode("w").alias("pos", "term")).select(*ROW, "pos", "term", F.get("w", F.col("pos") + 1).alias("next"))
-    found = tokens.join(pairs.select(F.col("a").alias("term"), F.col("b").alias("next"), F.lit(True).alias("paired")), ["term", "next"], "left")
-    found = found.join(terms.select("term", F.lit(True).alias("listed")), "term", "left").where("paired or listed")
+    pairs = sent(pairs, MOST_SENT).select(F.col("a").alias("term"), F.col("b").alias("next"), F.lit(True).alias("paired"))
+    terms = sent(terms, MOST_SENT).select("term", F.lit(True).alias("listed"))
+    found = tokens.join(pairs, ["term", "next"], "left").join(terms, "term", "left").where("paired or listed")
     one = lambda pos, term: F.struct(pos.alias("pos"), term.alias("term"))
     here, behind = one(F.col("pos"), F.col("term")), one(F.col("pos") + 1, F.col("next"))
     post = F.explode(F.when(F.col("paired"), F.array(here, behind)).otherwise(F.array(here)))
@@ -144,13 +147,15 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, distan
     items = items.select("item_id", "text")
     windows = materialize(item_windows(items, width), "decon-windows")
     rows = words_table(docs.select("doc_id", "text"))
-    vocabulary = items.select(F.explode(item_words(F.col("text"))).alias("term")).distinct()
+    vocabulary = materialize(items.select(F.explode(item_words(F.col("text"))).alias("term")).distinct(), "decon-terms")
     frequencies = materialize(term_frequencies(rows, vocabulary), "decon-tf")
     probes = materialize(rarest_pairs(items.where("item_id is not null"), frequencies), "decon-probes")
     whole = probes.select(F.explode(F.array("first", "second")).alias("term")).unionByName(windows.where("len = 1").select(F.col("win").alias("term"))).distinct()
+    whole = materialize(whole, "decon-whole")
     w = F.split("win", " ")
     beside = F.transform(F.sequence(F.lit(1), F.col("len") - 1), lambda i: F.struct(F.get(w, i - 1).alias("a"), F.get(w, i).alias("b")))
     pairs = windows.where("len > 1").select(F.explode(beside).alias("p")).select("p.a", "p.b").distinct()
+    pairs = materialize(pairs, "decon-pairs")
     index = materialize(positional_index(rows, whole, pairs), "decon-index")
 
     matches = materialize(phrase_matches(index, windows, frequencies), "decon-matches")
