@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagmill.llm.common import SPACE, discard, let, materialize, split_words
+from lagmill.llm.common import SPACE, discard, let, materialize, sent, split_words
 
 #: Share of a group's rows on which the minimum-covariance-determinant estimate rests.
 CORE = 0.75
@@ -211,16 +211,17 @@ def robust_estimates(rows: DataFrame, tree: DataFrame) -> DataFrame:
     is an outlier, from the group's upper quartile and at least CHI2_CUT.
     """
     names, key = list(VECTOR), ["grp", "start"]
-    known = F.broadcast(tree) if tree.limit(MOST_SENT + 1).count() <= MOST_SENT else tree
+    known = sent(tree, MOST_SENT)
+    small = F.broadcast if known is not tree else lambda df: df  # tables of one row per group, or two
     rows = rows.select(F.explode(F.array_compact(F.array("own", "whole", F.lit(TABLE)))).alias("grp"), *names)
     raw = materialize(_starts(rows, names).join(known, "grp"), "mcd")
     base = raw.where("depth = 0 and start = 0").drop("start").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))).select("start", *_numbers())
     base = materialize(base, "mcd-base", 1)  # two rows
     current = materialize(_whitened(_blended(raw, base, _numbers(), ["start"])), "mcd")
     for step in range(MOST_STEPS):
-        placed = rows.join(current, "grp").withColumn("logd", _log_distance(names)).select(*key, *names, "logd")
+        placed = rows.join(small(current), "grp").withColumn("logd", _log_distance(names)).select(*key, *names, "logd")
         edge = _group_quantile(placed, key, F.col("logd"), CORE, "edge")
-        raw = materialize(_moments(placed.join(edge, key).where("logd <= edge"), names).join(known, "grp"), "mcd")
+        raw = materialize(_moments(placed.join(small(edge), key).where("logd <= edge"), names).join(known, "grp"), "mcd")
         new = materialize(_whitened(_blended(raw, base, _numbers(), ["start"])), "mcd")
         fall = current.select(*key, F.col("logdet").alias("before")).join(new, key).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
         discard(current, raw)
@@ -230,7 +231,7 @@ def robust_estimates(rows: DataFrame, tree: DataFrame) -> DataFrame:
             break
     best = current.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
     best = materialize(current.join(best, key).drop("start"), "mcd")
-    placed = rows.join(best, "grp").withColumn("logd", _log_distance(names)).select("grp", "logd")
+    placed = rows.join(small(best), "grp").withColumn("logd", _log_distance(names)).select("grp", "logd")
     spread = _group_quantile(placed, ["grp"], F.col("logd"), 0.5, "mid").join(_group_quantile(placed, ["grp"], F.col("logd"), 0.75, "high"), "grp")
     spread = materialize(spread.join(known, "grp").withColumn("one", F.lit(1)), "mcd-spread")
     normal = spread.where("depth = 0").select("one", F.lit(log(CHI2_MEDIAN)).alias("mid"), F.lit(log(CHI2_HIGH)).alias("high"))
