@@ -317,3 +317,13 @@ def resampled(old: np.ndarray, new: np.ndarray) -> Callable[[np.ndarray], np.nda
     """Cubic-spline values at new positions; positions that can't move with the series are given once."""
     m = spline_matrix(np.asarray(old, float), np.asarray(new, float))
     return lambda x: x @ m.T
+
+
+def upsampled(factor: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Cubic-spline values at factor points a sample, from the first sample to the last; the matrix follows the series' length."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        return x @ spline_matrix(np.arange(float(n)), np.arange((n - 1) * factor + 1) / factor).T
+
+    return run

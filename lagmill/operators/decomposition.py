@@ -33,6 +33,14 @@ def second_moments(series: DataFrame, length: int) -> tuple[int, np.ndarray, np.
     return int(m[0, 0]), m[0, 1:], m[1:, 1:]
 
 
+def common_length(series: DataFrame) -> int:
+    """Length of all series; series of several lengths have no common components and are an error."""
+    lengths = [r[0] for r in series.select(F.size("values")).distinct().limit(2).collect()]
+    if len(lengths) > 1:
+        raise ValueError("the series differ in length; resample or split them first")
+    return lengths[0] if lengths else 1
+
+
 def principal_timecourses(series: DataFrame, length: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(components, variances, share of variance): leading time courses of the series about their mean series, unit length, each with its largest entry
     positive."""

@@ -147,7 +147,7 @@ SELECT label, t, {rounds("m AS v_mean", "sm AS v_sum", "sd AS v_std", "med AS v_
 FROM b JOIN d USING (label, t)""")
 def atlas_timecourses(spark, sf_dir):
     rows = summaries.region_timecourses(samples(spark, sf_dir))
-    return rounded(rows.drop("v_cov")).join(rows.select("label", "t", (F.round("v_cov", 4) + 0.0).alias("v_cov")), ["label", "t"])
+    return rounded(rows.withColumn("v_cov", (F.round("v_cov", 4) + 0.0).cast("double")))
 
 
 @query(f"""
@@ -198,14 +198,14 @@ def bland_altman(spark, sf_dir):
 
 
 @query(f"""
-WITH {SAMPLES}, y AS (SELECT * FROM s WHERE t < 4), g AS (SELECT label, avg(v) AS m, count(*) AS n, count(DISTINCT series_id) AS ns FROM y GROUP BY label),
+WITH {SAMPLES}, y AS (SELECT * FROM s), g AS (SELECT label, avg(v) AS m, count(*) AS n, count(DISTINCT series_id) AS ns, count(DISTINCT t) AS k FROM y GROUP BY label),
 tt AS (SELECT label, sum((v - m) ** 2) AS sst FROM y JOIN g USING (label) GROUP BY label),
-r AS (SELECT label, sum(4 * (u - m) ** 2) AS ssr FROM (SELECT label, series_id, avg(v) AS u FROM y GROUP BY 1, 2) JOIN g USING (label) GROUP BY label),
+r AS (SELECT label, sum(k * (u - m) ** 2) AS ssr FROM (SELECT label, series_id, avg(v) AS u FROM y GROUP BY 1, 2) JOIN g USING (label) GROUP BY label),
 c AS (SELECT label, sum(ns * (u - m) ** 2) AS ssc FROM (SELECT label, t, avg(v) AS u FROM y GROUP BY 1, 2) JOIN g USING (label) GROUP BY label),
-z AS (SELECT label, (sst - ssr - ssc) / ((ns - 1) * 3) AS mse, ssr / (ns - 1) AS msr, ssc / 3 / ns AS msc FROM g JOIN tt USING (label) JOIN r USING (label) JOIN c USING (label))
-SELECT label, {rounds("coalesce((msr - mse) / (msr + 3 * mse), 0) AS icc", "(msr - mse) / 4 AS r_var", "mse AS e_var", "msc / mse AS session_f")} FROM z""")
+z AS (SELECT label, (sst - ssr - ssc) / ((ns - 1) * (k - 1)) AS mse, ssr / (ns - 1) AS msr, ssc / (k - 1) / ns AS msc, k FROM g JOIN tt USING (label) JOIN r USING (label) JOIN c USING (label))
+SELECT label, {rounds("coalesce((msr - mse) / (msr + (k - 1) * mse), 0) AS icc", "(msr - mse) / k AS r_var", "mse AS e_var", "msc / mse AS session_f")} FROM z""")
 def icc_repeated_measures(spark, sf_dir):
-    return rounded(summaries.icc(samples(spark, sf_dir).where("t < 4"), ["label"], "series_id", "t", "v"))
+    return rounded(summaries.icc(samples(spark, sf_dir), ["label"], "series_id", "t", "v"))
 
 
 @query(f"""
@@ -324,22 +324,23 @@ def event_hours(spark, sf_dir):
 
 
 @query(f"""
-WITH {EVENT_HOURS}, x AS (SELECT event_type, event_id AS seq, h AS start, h + event_id % 5 AS stop, value FROM e WHERE event_id % 5 > 0 AND h <= 719),
-k AS (SELECT event_type, unnest(range(greatest(ceil(start), 0)::BIGINT, least(floor(stop), 719)::BIGINT + 1)) AS t, seq, value FROM x)
+WITH {EVENT_HOURS}, x AS (SELECT event_type, event_id AS seq, h AS start, h + event_id % 5 AS stop, value FROM e WHERE event_id % 5 > 0),
+k AS (SELECT event_type, unnest(range(greatest(ceil(start), 0)::BIGINT, floor(stop)::BIGINT + 1)) AS t, seq, value FROM x)
 SELECT event_type, t, round(arg_max(value, seq), 6) + 0.0 AS v FROM k GROUP BY event_type, t""")
 def interval_events_rasterize(spark, sf_dir):
     e = event_hours(spark, sf_dir).select("event_type", F.col("event_id").alias("seq"), F.col("h").alias("start"), (F.col("event_id") % 5).alias("duration"), "value")
-    return rounded(frames.rasterize_events(e, F.lit(720), ("event_type",)))
+    ticks = e.agg((F.floor(F.max(F.col("start") + F.col("duration"))) + 1).alias("ticks"))  # one row: up to the last event's end
+    return rounded(frames.rasterize_events(e.crossJoin(F.broadcast(ticks)), F.col("ticks"), ("event_type",)))
 
 
 @query(f"""
 WITH {EVENT_HOURS}, st AS (SELECT user_id, floor(h)::BIGINT AS t, arg_max(value, event_id) AS value FROM e GROUP BY 1, 2),
-u AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM st GROUP BY user_id), k AS (SELECT user_id, unnest(range(lo, least(hi, lo + 23) + 1)) AS t FROM u)
+u AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM st GROUP BY user_id), k AS (SELECT user_id, unnest(range(lo, hi + 1)) AS t FROM u)
 SELECT k.user_id, k.t, round(st.value, 6) + 0.0 AS value FROM k ASOF JOIN st ON k.user_id = st.user_id AND k.t >= st.t""")
 def stepwise_asof_fill(spark, sf_dir):
     steps = event_hours(spark, sf_dir).groupBy("user_id", F.floor("h").alias("t")).agg(F.max_by("value", "event_id").alias("value"))
     span = steps.groupBy("user_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    ticks = span.select("user_id", F.explode(F.sequence("lo", F.least(F.col("hi"), F.col("lo") + 23))).alias("t"))
+    ticks = span.select("user_id", F.explode(F.sequence("lo", "hi")).alias("t"))
     return rounded(frames.step_fill(ticks, steps, ("user_id",)))
 
 

@@ -183,17 +183,35 @@ def atlas_relabelled(spark, sf_dir):
     return rounded(merged.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("a")))
 
 
-# Without an SQL form: tested against analytic truth and brute force.
-
-
-@query()
+@query(f"""
+WITH {SAMPLES}, y AS (SELECT s.series_id, u, v FROM range(124) r(u), s WHERE t = CASE WHEN u < 30 THEN 29 - u WHEN u < 94 THEN u - 30 ELSE 157 - u END),
+f AS (SELECT k, k / 124.0::DOUBLE AS f FROM range(63) q(k)),
+a AS (SELECT k, greatest(0, least(1, (0.1575::DOUBLE - f) / 0.0075::DOUBLE)) * (1 - greatest(0, least(1, (0.01::DOUBLE - f) / 0.0005::DOUBLE))) * CASE WHEN k IN (0, 62) THEN 1 ELSE 2 END AS a FROM f),
+h AS (SELECT m, sum(a * cos(2 * pi() * k * m / 124)) / 124 AS h FROM a, range(124) z(m) GROUP BY m)
+SELECT y.series_id, any_value(e.label) AS label, w.t::INT AS t, round(sum(y.v * h), 6) + 0.0 AS v
+FROM y, range(64) w(t), h, embeddings e WHERE h.m = (w.t + 30 - y.u + 124) % 124 AND e.vec_id = y.series_id GROUP BY y.series_id, w.t""")
 def band_filtered(spark, sf_dir):
     f = K.band_filter(RATE, "lfo")
     rows = embedding_series(spark, sf_dir).select("series_id", "label", K.by_batch(f, F.col("values")).alias("values"))
     return rounded(to_samples(rows))
 
 
-@query()
+@query(f"""
+WITH {SAMPLES}, g AS (SELECT t, avg(v) AS v FROM s GROUP BY t), z AS (SELECT series_id, t, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM s WINDOW w AS (PARTITION BY series_id)),
+r AS (SELECT t, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS v FROM g),
+fa AS (SELECT series_id, k, sum(v * cos(2 * pi() * k * t / 128)) AS re, -sum(v * sin(2 * pi() * k * t / 128)) AS im FROM z, range(65) q(k) GROUP BY 1, 2),
+fb AS (SELECT k, sum(v * cos(2 * pi() * k * t / 128)) AS re, -sum(v * sin(2 * pi() * k * t / 128)) AS im FROM r, range(65) q(k) GROUP BY 1),
+x AS (SELECT series_id, k, fa.re * fb.re + fa.im * fb.im AS re, fa.im * fb.re - fa.re * fb.im AS im FROM fa JOIN fb USING (k)),
+w AS (SELECT *, sqrt(re * re + im * im) AS w, max(sqrt(re * re + im * im)) OVER (PARTITION BY series_id) AS top FROM x),
+p AS (SELECT *, CASE WHEN w > 0.1::DOUBLE * top THEN re / w ELSE 0 END AS pr, CASE WHEN w > 0.1::DOUBLE * top THEN im / w ELSE 0 END AS pi_ FROM w),
+c AS (SELECT series_id, lag, sum(CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * lag / 128) - im * sin(2 * pi() * k * lag / 128))) / 128 AS plain,
+        sum(CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END * (pr * cos(2 * pi() * k * lag / 128) - pi_ * sin(2 * pi() * k * lag / 128))) / 128 AS c FROM p, range(-64, 64) l(lag) GROUP BY 1, 2),
+n AS (SELECT series_id, lag, c * max(abs(plain)) OVER o / max(abs(c)) OVER o AS c FROM c WINDOW o AS (PARTITION BY series_id)),
+i AS (SELECT * FROM n WHERE lag BETWEEN -10 AND 10), b AS (SELECT series_id, arg_max(lag, round(c, 9) - lag * 1e-12) AS lag FROM i GROUP BY series_id),
+m AS (SELECT b.series_id, b.lag, i.c AS mid, l.c AS lo, h.c AS hi FROM b JOIN i ON i.series_id = b.series_id AND i.lag = b.lag LEFT JOIN i l ON l.series_id = b.series_id AND l.lag = b.lag - 1
+  LEFT JOIN i h ON h.series_id = b.series_id AND h.lag = b.lag + 1),
+d AS (SELECT *, coalesce(CASE WHEN abs(lo - 2 * mid + hi) > 1e-12 THEN least(greatest(0.5::DOUBLE * (lo - hi) / (lo - 2 * mid + hi), -0.5), 0.5) ELSE 0 END, 0) AS shift FROM m)
+SELECT series_id, lag::INT AS lag, {rounds("mid AS strength", "lag + shift AS fine_lag", "CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN mid - 0.25::DOUBLE * (lo - hi) * shift ELSE mid END AS fine_strength")} FROM d""")
 def generalized_correlation_peaks(spark, sf_dir):
     series = embedding_series(spark, sf_dir)
     both = lags.with_reference(series, lags.reference_series(series))
@@ -202,22 +220,43 @@ def generalized_correlation_peaks(spark, sf_dir):
     return rounded(lags.best_lags(rows, MOST_LAG))
 
 
-@query()
+@query(f"""
+WITH {SAMPLES}, g AS (SELECT t, avg(v) AS v FROM s GROUP BY t), x AS (SELECT series_id, t, v FROM s UNION ALL SELECT -1, t, v FROM g),
+q AS (SELECT series_id, i, t - 8 * i AS j, v - avg(v) OVER (PARTITION BY series_id, i) AS v FROM x, range(7) z(i) WHERE t BETWEEN 8 * i AND 8 * i + 15),
+f AS (SELECT series_id, i, k, sum(v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) * cos(2 * pi() * k * j / 16)) AS re,
+  -sum(v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) * sin(2 * pi() * k * j / 16)) AS im FROM q, range(9) z(k) GROUP BY 1, 2, 3),
+c AS (SELECT a.series_id, k, (avg(a.re * b.re + a.im * b.im) ** 2 + avg(a.im * b.re - a.re * b.im) ** 2) / greatest(avg(a.re ** 2 + a.im ** 2) * avg(b.re ** 2 + b.im ** 2), 1e-300) AS c
+  FROM f a JOIN f b USING (i, k) WHERE a.series_id >= 0 AND b.series_id = -1 GROUP BY 1, 2)
+SELECT series_id, round(max(c), 6) + 0.0 AS peak, round(arg_max(k, c) / 16.0::DOUBLE, 6) + 0.0 AS frequency FROM c WHERE k > 0 GROUP BY series_id""")
 def coherence_peaks(spark, sf_dir):
     series = embedding_series(spark, sf_dir)
     both = lags.with_reference(series, lags.reference_series(series))
     rows = both.select("series_id", K.by_batch(K.coherence(16), F.col("values"), F.col("ref")).alias("c"))
-    rows = rows.select("series_id", "c", F.array_max(F.slice("c", 2, 100)).alias("peak"))
+    rows = rows.select("series_id", "c", F.array_max(F.slice("c", 2, F.size("c"))).alias("peak"))
     return rounded(rows.select("series_id", "peak", ((F.array_position("c", F.col("peak")) - 1) * RATE / 16).alias("frequency")))
 
 
-@query()
+@query(f"""
+WITH {SAMPLES}, h AS (SELECT m, sum(sin(2 * pi() * k * m / 64)) / 32 AS h FROM range(64) z(m), range(1, 32) q(k) GROUP BY m),
+i AS (SELECT s.series_id, w.t, sum(s.v * h) AS im FROM s, range(64) w(t), h WHERE h.m = (w.t - s.t + 64) % 64 GROUP BY 1, 2),
+p AS (SELECT s.series_id, s.t, atan2(im, v) AS p, sqrt(v * v + im * im) AS e FROM s JOIN i ON i.series_id = s.series_id AND i.t = s.t),
+d AS (SELECT *, p - lag(p) OVER (PARTITION BY series_id ORDER BY t) AS d FROM p),
+u AS (SELECT *, coalesce(d - 2 * pi() * floor((d + pi()) / (2 * pi())), p) AS step FROM d)
+SELECT series_id, t::INT AS t, round(sum(step) OVER (PARTITION BY series_id ORDER BY t), 6) + 0.0 AS phase, round(e, 6) + 0.0 AS envelope FROM u""")
 def phase_and_envelope(spark, sf_dir):
     rows = embedding_series(spark, sf_dir).select("series_id", K.by_batch(K.phase, F.col("values")).alias("phase"), K.by_batch(K.envelope, F.col("values")).alias("envelope"))
     return rounded(rows.select("series_id", F.posexplode(F.arrays_zip("phase", "envelope")).alias("t", "p")).select("series_id", "t", "p.*"))
 
 
-@query()
+@query(f"""
+WITH {SAMPLES}, x AS (SELECT t, avg(v) FILTER (label = 0) AS x1, avg(v) FILTER (label = 1) AS x2, cos(pi() * (t + 0.5::DOUBLE) / 64) AS x3 FROM s GROUP BY t),
+c AS (SELECT t, x1 - avg(x1) OVER () AS c1, x2 - avg(x2) OVER () AS c2, x3 - avg(x3) OVER () AS c3, avg(x1) OVER () AS m1, avg(x2) OVER () AS m2, avg(x3) OVER () AS m3 FROM x),
+a AS (SELECT sum(c1 * c2) / sum(c1 * c1) AS a21, sum(c1 * c3) / sum(c1 * c1) AS a31 FROM c), q2 AS (SELECT c.*, c2 - a21 * c1 AS q2, a21, a31 FROM c, a),
+b AS (SELECT sum(q2 * c3) / sum(q2 * q2) AS a32 FROM q2), q AS (SELECT q2.*, a32, c3 - a31 * c1 - a32 * q2 AS q3 FROM q2, b),
+y AS (SELECT series_id, avg(v) AS my, sum((v - 0) * c1) / sum(c1 * c1) AS g1, sum(v * q2) / sum(q2 * q2) AS g2, sum(v * q3) / sum(q3 * q3) AS g3, sum(c1 * c1) AS s1, sum(q2 * q2) AS s2, sum(q3 * q3) AS s3,
+  var_pop(v) * 64 AS syy, any_value(a21) AS a21, any_value(a31) AS a31, any_value(a32) AS a32, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS m3 FROM s JOIN q USING (t) GROUP BY series_id),
+z AS (SELECT *, g3 AS b3, g2 - a32 * g3 AS b2, g1 - a21 * (g2 - a32 * g3) - a31 * g3 AS b1, g1 * g1 * s1 + g2 * g2 * s2 + g3 * g3 * s3 AS fit FROM y)
+SELECT series_id, {rounds("my - b1 * m1 - b2 * m2 - b3 * m3 AS beta0", "b1 AS beta1", "b2 AS beta2", "b3 AS beta3", "fit / syy AS r2", "sqrt((syy - fit) / 64) AS residual_std")} FROM z""")
 def confounds_removed(spark, sf_dir):
     """Every series less its part along the mean series of the first two regions and a slow drift; coefficients and R squared. The
     regressors are a few series long and fixed in number, so the driver prepares them."""
@@ -273,28 +312,57 @@ def phase_gridded_average(spark, sf_dir):
     return rounded(waves.grid_average(event_hours(spark, sf_dir), ["event_type"], F.col("h") / 24, F.col("value"), 24))
 
 
-@query()
+@query(f"""
+WITH {SAMPLES}, w AS (SELECT series_id, t, (v - avg(v) OVER (PARTITION BY series_id)) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * t / 63)) AS v FROM s),
+f AS (SELECT series_id, k, sqrt(sum(v * cos(2 * pi() * k * t / 64)) ** 2 + sum(v * sin(2 * pi() * k * t / 64)) ** 2) AS m FROM w, range(33) z(k) GROUP BY 1, 2),
+b AS (SELECT series_id, arg_max(k, m) AS k, max(m) AS m, sum(m * m) AS power FROM f WHERE k / 64.0::DOUBLE BETWEEN 0.05::DOUBLE AND 0.45::DOUBLE GROUP BY series_id),
+n AS (SELECT b.*, l.m AS lo, h.m AS hi FROM b JOIN f l ON l.series_id = b.series_id AND l.k = b.k - 1 JOIN f h ON h.series_id = b.series_id AND h.k = b.k + 1)
+SELECT series_id, {rounds("(k + CASE WHEN abs(lo - 2 * m + hi) > 1e-12 THEN least(greatest(0.5::DOUBLE * (lo - hi) / (lo - 2 * m + hi), -0.5), 0.5) ELSE 0 END) / 64 AS frequency", "m * m / power AS share")} FROM n""")
 def dominant_frequencies(spark, sf_dir):
     return rounded(waves.dominant_frequency(embedding_series(spark, sf_dir), RATE, 0.05, 0.45))
 
 
-@query()
+@query(f"""
+WITH {SAMPLES}, q AS (SELECT series_id, 8 * i AS start, t - 8 * i AS j, v FROM s, range(7) z(i) WHERE t BETWEEN 8 * i AND 8 * i + 15),
+f AS (SELECT series_id, start, k, sqrt(sum(v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) * cos(2 * pi() * k * j / 16)) ** 2
+  + sum(v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) * sin(2 * pi() * k * j / 16)) ** 2) AS m FROM q, range(9) z(k) GROUP BY 1, 2, 3)
+SELECT series_id, start::INT AS start, round(max(m), 6) + 0.0 AS peak, arg_max(k, m) AS k FROM f GROUP BY series_id, start""")
 def spectrogram_peaks(spark, sf_dir):
     rows = waves.spectrogram(embedding_series(spark, sf_dir), 16, 8)
     return rounded(rows.select("series_id", "start", F.array_max("magnitudes").alias("peak"), (F.array_position("magnitudes", F.array_max("magnitudes")) - 1).alias("k")))
 
 
-@query()
+@query(f"""
+WITH {SAMPLES}, q AS (SELECT series_id, i, t - 16 * i AS j, v, avg(v) OVER (PARTITION BY series_id, i) AS m FROM s, range(3) z(i) WHERE t BETWEEN 16 * i AND 16 * i + 31),
+a AS (SELECT series_id, i, avg((v - m) ** 2) AS m2, avg((v - m) ** 3) AS m3, avg((v - m) ** 4) AS m4 FROM q GROUP BY 1, 2),
+x AS (SELECT series_id, i, count(*) FILTER ((v - m) * (p - m) < 0) / 32.0::DOUBLE AS crossings FROM (SELECT *, lag(v) OVER (PARTITION BY series_id, i ORDER BY j) AS p FROM q) GROUP BY 1, 2),
+f AS (SELECT series_id, i, k, sqrt(sum(v * cos(2 * pi() * k * j / 32)) ** 2 + sum(v * sin(2 * pi() * k * j / 32)) ** 2) AS s FROM q, range(1, 17) z(k) GROUP BY 1, 2, 3),
+l AS (SELECT series_id, i, exp(avg(ln(greatest(s, 1e-300)))) / avg(s) AS flatness FROM f GROUP BY 1, 2),
+w AS (SELECT series_id, i, m3 / m2 ** 1.5 AS skew, m4 / m2 ** 2 AS kurt, crossings, flatness FROM a JOIN x USING (series_id, i) JOIN l USING (series_id, i))
+SELECT series_id, {rounds(*(f"{f}({c}) AS {c}_{n}" for c in ("skew", "kurt", "crossings", "flatness") for n, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_pop"))))}, count(*) AS n FROM w GROUP BY series_id""")
 def waveform_quality(spark, sf_dir):
     return rounded(waves.quality(embedding_series(spark, sf_dir), RATE, 32))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SAMPLES},
+n(t, ahead, var) AS (SELECT 0, 0.55::DOUBLE, 0.5::DOUBLE UNION ALL SELECT t + 1, var + 0.05::DOUBLE, 0.5::DOUBLE * (var + 0.05::DOUBLE) / (var + 0.55::DOUBLE) FROM n WHERE t < 63),
+f(series_id, t, level) AS (SELECT series_id, 0, v FROM s WHERE t = 0
+  UNION ALL SELECT f.series_id, f.t + 1, level + ahead / (ahead + 0.5::DOUBLE) * (s.v - level) FROM f JOIN n ON n.t = f.t + 1 JOIN s ON s.series_id = f.series_id AND s.t = f.t + 1),
+b(series_id, t, level) AS (SELECT series_id, t, level FROM f WHERE t = 63
+  UNION ALL SELECT f.series_id, f.t, f.level + m.var / n.ahead * (b.level - f.level) FROM b JOIN f ON f.series_id = b.series_id AND f.t = b.t - 1 JOIN n ON n.t = b.t JOIN n m ON m.t = b.t - 1)
+SELECT series_id, t::INT AS t, round(level, 6) + 0.0 AS v FROM b""")
 def kalman_smoothed(spark, sf_dir):
     return rounded(to_samples(waves.kalman_smooth(embedding_series(spark, sf_dir), 0.05, 0.5)))
 
 
-@query()
+@query(f"""
+WITH {SAMPLES}, y AS (SELECT series_id, t, v - avg(v) OVER (PARTITION BY series_id) AS y FROM s),
+l AS (SELECT *, coalesce(lag(y, 1) OVER w, 0) AS y1, coalesce(lag(y, 2) OVER w, 0) AS y2, coalesce(lag(y, 3) OVER w, 0) AS y3 FROM y WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+r AS (SELECT series_id, sum(y * y) / 64 + 1e-12 AS r0, sum(y * y1) / 64 AS r1, sum(y * y2) / 64 AS r2, sum(y * y3) / 64 AS r3 FROM l GROUP BY series_id),
+o1 AS (SELECT *, r1 / r0 AS k1, r0 * (1 - (r1 / r0) ** 2) AS e1 FROM r), o2 AS (SELECT *, (r2 - k1 * r1) / e1 AS k2 FROM o1),
+o3 AS (SELECT *, k1 - k2 * k1 AS b1, k2 AS b2, e1 * (1 - k2 * k2) AS e2 FROM o2), o4 AS (SELECT *, (r3 - b1 * r2 - b2 * r1) / e2 AS k3 FROM o3)
+SELECT series_id, t, round(y - (b1 - k3 * b2) * y1 - (b2 - k3 * b1) * y2 - k3 * y3, 6) + 0.0 AS v FROM l JOIN o4 USING (series_id)""")
 def prewhitened(spark, sf_dir):
     rows = embedding_series(spark, sf_dir).select("series_id", K.by_batch(waves.prewhiten(3), F.col("values")).alias("values"))
     return rounded(to_samples(rows))
@@ -303,8 +371,7 @@ def prewhitened(spark, sf_dir):
 @query()
 def resampled_series(spark, sf_dir):
     """Every series at half steps, by cubic spline."""
-    f = K.resampled(np.arange(64.0), np.arange(0, 63.5, 0.5))
-    rows = embedding_series(spark, sf_dir).where(F.size("values") == 64).select("series_id", K.by_batch(f, F.col("values")).alias("values"))
+    rows = embedding_series(spark, sf_dir).select("series_id", K.by_batch(K.upsampled(2), F.col("values")).alias("values"))
     return rounded(to_samples(rows))
 
 
@@ -312,6 +379,6 @@ def resampled_series(spark, sf_dir):
 def principal_loadings(spark, sf_dir):
     """Loadings of every series on the leading principal time courses."""
     series = embedding_series(spark, sf_dir)
-    components, _, _ = decomposition.principal_timecourses(series, 64, 3)
-    rows = decomposition.loadings(series.where(F.size("values") == 64), components)
+    components, _, _ = decomposition.principal_timecourses(series, decomposition.common_length(series), 3)
+    rows = decomposition.loadings(series, components)
     return rounded(rows.select("series_id", *(F.get("loadings", F.lit(i)).alias(f"pc{i + 1}") for i in range(3))))
