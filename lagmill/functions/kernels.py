@@ -200,6 +200,24 @@ def coherence(segment: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
 FAIL = {"amp_low": 1, "amp_high": 2, "width_low": 4, "width_high": 8, "lag_low": 16, "lag_high": 32, "edge": 64, "no_fit": 128}
 
 
+def gaussian_fit(c: np.ndarray, x: np.ndarray, use: np.ndarray, p: np.ndarray, step: float, rounds: int = 12) -> np.ndarray:
+    """(height, lag, sigma) of the least-squares Gaussian of every row of c over the samples that use marks, from the starts p: damped
+    Gauss-Newton steps on all rows at once."""
+    p = p.astype(float).copy()
+    most = np.array([0.5, 2 * step, 2 * step])
+    for _ in range(rounds):
+        d = x[None, :] - p[:, 1:2]
+        g = np.exp(-(d**2) / (2 * p[:, 2:3] ** 2))
+        res = (c - p[:, :1] * g) * use
+        j = np.stack([g, p[:, :1] * g * d / p[:, 2:3] ** 2, p[:, :1] * g * d**2 / p[:, 2:3] ** 3], axis=2) * use[:, :, None]
+        h = np.einsum("bti,btj->bij", j, j)
+        h += 1e-6 * np.eye(3) * (np.einsum("bii->b", h)[:, None, None] + 1e-12)
+        move = np.linalg.solve(h, np.einsum("bti,bt->bi", j, res)[:, :, None])[:, :, 0]
+        p = p + np.clip(move, -most, most)
+        p[:, 2] = np.maximum(np.abs(p[:, 2]), step / 10)
+    return p
+
+
 def gaussian_peaks(lag_step: float, lag_range: tuple[float, float], amp: tuple[float, float] = (0.0, 1.0), sigma: tuple[float, float] = (0.25, 25.0), rounds: int = 12) -> Callable[[np.ndarray], np.ndarray]:
     """Per correlogram (lag, height, sigma, fail reason) of a Gaussian fitted to the run of samples over half of the highest inner peak: damped
     Gauss-Newton steps on all rows of a batch at once. Values outside their ranges set FAIL bits; the fit is returned as found."""
@@ -217,16 +235,7 @@ def gaussian_peaks(lag_step: float, lag_range: tuple[float, float], amp: tuple[f
         right = np.where(gap & (index > k[:, None]), index, n).min(axis=1) - 1
         use = ((index >= np.minimum(left, k - 1)[:, None]) & (index <= np.maximum(right, k + 1)[:, None])).astype(float)
         p = np.stack([top, x[k], np.maximum((right - left + 1) * lag_step / 2.355, lag_step / 2)], axis=1)
-        for _ in range(rounds):
-            d = x[None, :] - p[:, 1:2]
-            g = np.exp(-(d**2) / (2 * p[:, 2:3] ** 2))
-            res = (c - p[:, :1] * g) * use
-            j = np.stack([g, p[:, :1] * g * d / p[:, 2:3] ** 2, p[:, :1] * g * d**2 / p[:, 2:3] ** 3], axis=2) * use[:, :, None]
-            h = np.einsum("bti,btj->bij", j, j)
-            h += 1e-6 * np.eye(3) * (np.einsum("bii->b", h)[:, None, None] + 1e-12)
-            step = np.linalg.solve(h, np.einsum("bti,bt->bi", j, res)[:, :, None])[:, :, 0]
-            p = p + np.clip(step, -np.array([0.5, 2 * lag_step, 2 * lag_step]), np.array([0.5, 2 * lag_step, 2 * lag_step]))
-            p[:, 2] = np.maximum(np.abs(p[:, 2]), lag_step / 10)
+        p = gaussian_fit(c, x, use, p, lag_step, rounds)
         bad = (
             FAIL["amp_low"] * (p[:, 0] < amp[0]) + FAIL["amp_high"] * (p[:, 0] > amp[1]) + FAIL["width_low"] * (p[:, 2] < sigma[0])
             + FAIL["width_high"] * (p[:, 2] > sigma[1]) + FAIL["lag_low"] * (p[:, 1] < lag_range[0]) + FAIL["lag_high"] * (p[:, 1] > lag_range[1])
@@ -327,3 +336,41 @@ def upsampled(factor: int) -> Callable[[np.ndarray], np.ndarray]:
         return x @ spline_matrix(np.arange(float(n)), np.arange((n - 1) * factor + 1) / factor).T
 
     return run
+
+
+def real_cepstrum(x: np.ndarray) -> np.ndarray:
+    """Inverse transform of the logarithm of the magnitude spectrum."""
+    return np.fft.irfft(np.log(np.maximum(magnitude_spectrum(x), 1e-300)), x.shape[1], axis=1)
+
+
+def polar_spectrum(x: np.ndarray) -> np.ndarray:
+    """Magnitudes, then phases, of the frequencies from 0 to the Nyquist frequency."""
+    f = np.fft.rfft(x, axis=1)
+    return np.concatenate([np.abs(f), np.angle(f)], axis=1)
+
+
+def from_polar(m: np.ndarray) -> np.ndarray:
+    """Series of even length from polar_spectrum()."""
+    half = m.shape[1] // 2
+    return np.fft.irfft(m[:, :half] * np.exp(1j * m[:, half:]), 2 * (half - 1), axis=1)
+
+
+def approximate_entropy(m: int, r: float) -> Callable[[np.ndarray], np.ndarray]:
+    """ApEn(m, r): how much less often windows of m + 1 samples stay within r of each other (largest difference) than windows of m; r in
+    standard deviations of the series. Rows go one by one, since each compares all its windows."""
+
+    def closeness(x: np.ndarray, k: int, near: float) -> float:
+        v = np.lib.stride_tricks.sliding_window_view(x, k)
+        far = np.zeros((len(v), len(v)))
+        for i in range(k):
+            np.maximum(far, np.abs(v[:, i, None] - v[None, :, i]), out=far)
+        return float(np.log((far <= near).mean(axis=1)).mean())
+
+    return lambda x: np.array([closeness(row, m, r * row.std()) - closeness(row, m + 1, r * row.std()) for row in x])
+
+
+def normal_tail(z: np.ndarray) -> np.ndarray:
+    """Probability of a standard normal variable over z."""
+    from math import erfc
+
+    return np.array([erfc(v / 2**0.5) / 2 for v in z])

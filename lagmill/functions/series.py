@@ -218,3 +218,60 @@ def expanded(values: dict[str, Column], powers: int = 1, derivatives: bool = Tru
 def orthogonal(a: Column, b: Column) -> Column:
     """a less its projection on b."""
     return let(dot(a, b) / dot(b, b), lambda f: F.zip_with(a, b, lambda x, y: x - f * y))
+
+
+def difference_error(n1: Column, n2: Column) -> Column:
+    """Standard error of the difference of two Fisher-transformed correlations over n1 and n2 samples."""
+    return F.sqrt(1 / (n1 - 3) + 1 / (n2 - 3))
+
+
+def z_of_difference(r1: Column, r2: Column, n1: Column, n2: Column) -> Column:
+    return (fisher(r1) - fisher(r2)) / difference_error(n1, n2)
+
+
+def rise(x: Column, start: Column, amplitude: Column, time: Column) -> Column:
+    """Exponential rise from start on towards amplitude."""
+    return F.when(x > start, amplitude * (1 - F.exp(-(x - start) / time))).otherwise(F.lit(0.0))
+
+
+def trapezoid(x: Column, start: Column, amplitude: Column, rise_time: Column, fall_time: Column, top: Column) -> Column:
+    """Exponential rise from start on for the top's length, then exponential fall from what was reached."""
+    reached = amplitude * (1 - F.exp(-top / rise_time))
+    return F.when(x < start, F.lit(0.0)).when(x < start + top, rise(x, start, amplitude, rise_time)).otherwise(reached * F.exp(-(x - start - top) / fall_time))
+
+
+def sinc_curve(x: Column, height: Column, loc: Column, width: Column, baseline: Column) -> Column:
+    """Peak of sin(u) / u with the given full width at half height. 3.790988: twice the u at which it is a half."""
+    u = (x - loc) * 3.790988 / width
+    return baseline + height * F.when(F.abs(u) > 1e-12, F.sin(u) / u).otherwise(F.lit(1.0))
+
+
+def gauss_curve(x: Column, height: Column, loc: Column, width: Column) -> Column:
+    return height * F.exp(-F.pow((x - loc) / width, F.lit(2.0)) / 2)
+
+
+def harmonics(phase: Column, amplitudes: list[float], phases: list[float], overall: float = 0.0) -> Column:
+    """Sum of amplitudes times cosines of the phase's multiples."""
+    return sum((a * F.cos((i + 1) * phase + p + overall) for i, (a, p) in enumerate(zip(amplitudes, phases, strict=True))), F.lit(0.0))
+
+
+def two_regressors(y: Column, a: Column, b: Column) -> Column:
+    """Least squares of y on 1, a and b as a struct (intercept, slope_a, slope_b, r2); collinear regressors give slopes of 0."""
+    centred = lambda v: let(mean(v), lambda m: F.transform(v, lambda x: x - m))
+
+    def solved(u: Column, v: Column, w: Column) -> Column:
+        saa, sbb, sab, say, sby, syy = dot(v, v), dot(w, w), dot(v, w), dot(v, u), dot(w, u), dot(u, u)
+        sums = F.struct(saa.alias("aa"), sbb.alias("bb"), sab.alias("ab"), say.alias("ay"), sby.alias("by"), syy.alias("yy"))
+
+        def slopes(s: Column) -> Column:
+            det = s["aa"] * s["bb"] - s["ab"] * s["ab"]
+            ok = det > 1e-12 * s["aa"] * s["bb"]
+            fa = F.when(ok, (s["ay"] * s["bb"] - s["by"] * s["ab"]) / det).otherwise(F.lit(0.0))
+            fb = F.when(ok, (s["by"] * s["aa"] - s["ay"] * s["ab"]) / det).otherwise(F.lit(0.0))
+            return F.struct(fa.alias("a"), fb.alias("b"), s["ay"].alias("ay"), s["by"].alias("by"), s["yy"].alias("yy"))
+
+        return let(let(sums, slopes), lambda f: F.struct(
+            (mean(y) - f["a"] * mean(a) - f["b"] * mean(b)).alias("intercept"), f["a"].alias("slope_a"), f["b"].alias("slope_b"),
+            F.when(f["yy"] > 0, (f["a"] * f["ay"] + f["b"] * f["by"]) / f["yy"]).otherwise(F.lit(0.0)).alias("r2")))
+
+    return let(centred(y), lambda u: let(centred(a), lambda v: let(centred(b), lambda w: solved(u, v, w))))

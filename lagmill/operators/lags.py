@@ -101,3 +101,28 @@ def regress_out(series: DataFrame, regressor: str = "regressor") -> DataFrame:
     out = F.zip_with(y, x, lambda v, w: v - F.col("slope") * w)
     rows = rows.select("*", (F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept"), (F.col("r") * F.col("r")).alias("r2"), out.alias("filtered"))
     return rows.drop("_mx", "_my", "_sxy", "_sxx", "_syy")
+
+
+def sidelobes(series: DataFrame, most: int, least: float, count: int) -> DataFrame:
+    """series_id, rank, lag, amp: the highest inner local maxima of each series' autocorrelation at lags 1 .. most - 1 that reach `least`. Row-local."""
+    unit = S.let(S.normalize(F.col("values"), "z"), lambda z: F.transform(z, lambda x: x / F.sqrt(F.size(z).cast("double"))))
+    rows = series.select("series_id", unit.alias("u")).select("series_id", S.cross_correlation(F.col("u"), F.col("u"), most).alias("c"))
+    c = F.col("c")
+    top = lambda x, i: (i > most) & (i < 2 * most) & (x > F.get(c, i - 1)) & (x >= F.get(c, i + 1)) & (x >= least)
+    peaks = F.filter(F.transform(c, lambda x, i: F.when(top(x, i), F.struct((-F.round(x, 9)).alias("neg"), (i - most).alias("lag"), x.alias("amp")))), lambda p: p.isNotNull())
+    found = rows.select("series_id", F.posexplode(F.slice(F.sort_array(peaks), 1, count)).alias("k", "p"))
+    return found.select("series_id", (F.col("k") + 1).alias("rank"), F.col("p.lag").alias("lag"), F.col("p.amp").alias("amp"))
+
+
+def windowed_lags(series: DataFrame, ref: DataFrame, window: int, step: int, most: int) -> DataFrame:
+    """series_id, start, lag, strength: the best lag within -most..most of every window of a series against the same window of the reference, both
+    standardised; the smaller of equal lags."""
+    rows = with_reference(series.where(F.size("values") >= window), ref)
+    starts = F.explode(F.sequence(F.lit(0), F.size("values") - window, F.lit(step))).alias("start")
+    rows = rows.select("series_id", "values", "ref", starts)
+    part = lambda c: F.slice(c, F.col("start") + 1, F.lit(window))
+    unit = lambda a: S.let(S.normalize(a, "z"), lambda z: F.transform(z, lambda x: x / F.sqrt(F.size(z).cast("double"))))
+    rows = rows.select("series_id", "start", unit(part("values")).alias("u"), unit(part("ref")).alias("w"))
+    rows = rows.select("series_id", "start", S.cross_correlation(F.col("u"), F.col("w"), most).alias("corr"))
+    best = F.array_max(F.transform("corr", lambda c, i: F.struct(F.round(c, 9).alias("r"), (-i).alias("neg"), c.alias("c"))))
+    return rows.select("series_id", "start", best.alias("b")).select("series_id", "start", (-F.col("b.neg") - most).alias("lag"), F.col("b.c").alias("strength"))

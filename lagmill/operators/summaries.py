@@ -108,3 +108,22 @@ def mask_values(values: DataFrame, masks: list[str], value: str) -> DataFrame:
     mid = materialize(medians(rows, ["mask"], "v", "v_median"), "medians")  # read twice
     away = medians(rows.join(mid, "mask").select("mask", F.abs(F.col("v") - F.col("v_median")).alias("d")), ["mask"], "d", "mad")
     return base.join(mid, "mask").join(away, "mask").select("mask", "v_mean", "v_std", "v_median", (F.col("mad") / S.MAD_SCALE).alias("v_mad"), "n")
+
+
+def region_parabolas(samples: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Per group the least-squares parabola y = c0 + c1 x + c2 x**2, r2 and n. Power sums about the table's mean x merge before the
+    shuffle; a group without three different x has nulls."""
+    rows = samples.crossJoin(F.broadcast(samples.agg(F.avg(x).alias("_m")))).withColumn("_u", F.col(x) - F.col("_m"))  # one row
+    u, v = F.col("_u"), F.col(y)
+    powers = [F.sum(F.pow(u, F.lit(float(k)))).alias(f"s{k}") for k in range(1, 5)] + [F.sum(v * F.pow(u, F.lit(float(k)))).alias(f"t{k}") for k in range(3)]
+    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("_m").alias("_m"), F.var_pop(v).alias("_var"), *powers)
+    n, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("n", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+    q1, q2 = s2 - s1 * s1 / n, s4 - s2 * s2 / n
+    q12 = s3 - s1 * s2 / n
+    y1, y2 = t1 - s1 * t0 / n, t2 - s2 * t0 / n
+    det = q1 * q2 - q12 * q12
+    g = g.withColumn("_a", F.when(det > 0, (y2 * q1 - y1 * q12) / det)).withColumn("_b", F.when(det > 0, (y1 * q2 - y2 * q12) / det))
+    g = g.withColumn("_c", (t0 - F.col("_b") * s1 - F.col("_a") * s2) / n)
+    a, b, c, m = F.col("_a"), F.col("_b"), F.col("_c"), F.col("_m")
+    r2 = F.when(F.col("_var") > 0, (b * y1 + a * y2) / (F.col("_var") * n))
+    return g.select(*keys, (c - b * m + a * m * m).alias("c0"), (b - 2 * a * m).alias("c1"), a.alias("c2"), r2.alias("r2"), "n")

@@ -117,6 +117,15 @@ def peak_envelope(samples: DataFrame) -> DataFrame:
     return rows.withColumn("envelope", F.col("_a.v") + share * (F.col("_b.v") - F.col("_a.v"))).drop("_p", "_a", "_b")
 
 
+def peak_intervals(v: Column, off: float) -> Column:
+    """Column: struct (n, mean, spread) of the intervals, in samples, between a series' local maxima, without those that differ from their median by
+    more than the share `off`."""
+    peaks = F.filter(F.transform(v, lambda x, i: F.when((x > F.get(v, i - 1)) & (x >= F.get(v, i + 1)), i)), lambda i: i.isNotNull())
+    gaps = S.let(peaks, lambda p: F.filter(F.transform(p, lambda t, i: (t - F.get(p, i - 1)).cast("double")), lambda d: d.isNotNull()))
+    kept = S.let(gaps, lambda g: S.let(S.median(g), lambda m: F.filter(g, lambda d: (d >= (1 - off) * m) & (d <= (1 + off) * m))))
+    return S.let(kept, lambda g: F.when(F.size(g) > 0, F.struct(F.size(g).cast("long").alias("n"), S.mean(g).alias("mean"), S.std_pop(g).alias("spread"))))
+
+
 def prewhiten(order: int):
     """Kernel: residuals of an autoregression of the given order fitted by Yule and Walker's equations; the first samples use what there is."""
 
@@ -146,15 +155,15 @@ def deconvolve(strength: float = 0.1):
 
 
 def cepstral_delay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Kernel: delay of y's echo in x from the complex cepstra of sum and difference, in samples, over the first half."""
-
-    def cepstrum(v: np.ndarray) -> np.ndarray:
-        s = np.fft.fft(v, axis=1)
-        angle = np.unwrap(np.angle(s), axis=1)
-        half = (v.shape[1] + 1) // 2
-        turns = np.round(angle[:, half] / np.pi)
-        angle = angle - np.pi * turns[:, None] * np.arange(v.shape[1]) / half
-        return np.fft.ifft(np.log(np.maximum(np.abs(s), 1e-300)) + 1j * angle, axis=1).real
-
-    d = cepstrum(x + y) - cepstrum(x - y)
-    return d[:, : d.shape[1] // 2].argmax(axis=1).astype(float)
+    """Kernel: delay, in samples, at which x holds an echo of y, over the first half.
+
+    The spectrum of a signal with an echo is the signal's times 1 + a exp(-i w d), whose logarithm is periodic in w, so the power cepstrum of
+    x + y stands out at d against that of x - y, where the echo's sign is turned. Power spectra have no phase to unwrap.
+    """
+
+    def power_cepstrum(v: np.ndarray) -> np.ndarray:
+        return np.fft.irfft(np.log(np.maximum(np.abs(np.fft.rfft(v, axis=1)) ** 2, 1e-12)), v.shape[1], axis=1)
+
+    change = power_cepstrum(x + y) - power_cepstrum(x - y)
+    change[:, 0] = -np.inf
+    return change[:, : change.shape[1] // 2].argmax(axis=1).astype(float)
