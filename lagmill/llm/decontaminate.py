@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagmill.llm.common import discard, lower_ascii, materialize, sent, split_words
+from lagmill.llm.common import lower_ascii, materialize, sent, split_words
 
 WINDOW = 10
 #: Words that the two rarest terms of an item may stand apart in a proximity match.
 NEAR = 8
 #: Postings of one term that one task reads, about; those of a more frequent term are dealt to more tasks by their document.
 HOT = 5_000_000
-#: Rows of a table of benchmark terms, or of pairs of them, that are sent to all tasks, at most (some 50 MB); larger ones are joined by shuffles.
+#: Consecutive words of a window by which the index tells whether a position can be part of a phrase.
+GRAM = 4
+#: Rows of a table of benchmark terms, or of runs of them, that are sent to all tasks, at most (some 50 MB); larger ones are joined by shuffles.
 MOST_SENT = 500_000
 #: Fixed value: what separates the words of documents and items, once A-Z are lower case.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -50,21 +52,36 @@ def term_frequencies(words: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def positional_index(words: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+def window_grams(windows: DataFrame) -> DataFrame:
+    """gram, width: all runs of GRAM words of the windows, and shorter windows whole; a window of one word gives none."""
+    w, k = F.split("win", " "), F.least(F.col("len"), F.lit(GRAM))
+    runs = F.transform(F.sequence(F.lit(1), F.col("len") - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+    return windows.where("len > 1").select(F.explode(runs).alias("gram"), k.alias("width")).distinct()
+
+
+def positional_index(words: DataFrame, terms: DataFrame, grams: DataFrame) -> DataFrame:
     """The inverted index: term, doc_id, th and the sorted positions of the term in that row.
 
-    It holds every position of the given terms, and of every pair (a, b) of terms the positions where the pair stands side by side: a
-    position whose neighbours occur beside it in no pair can be part of no phrase made of the pairs, so it is not stored. Postings of
-    frequent words thus stay in proportion to what phrases can use.
+    It holds every position of the given terms, and the positions of every term where one of the grams (gram, width; a written table) occurs word
+    for word: a position outside of them all can be part of no phrase that the grams make up, so it is not stored. Postings of frequent
+    words thus stay in proportion to what phrases can use.
     """
-    tokens = words.select(*ROW, "w", F.posexplode("w").alias("pos", "term")).select(*ROW, "pos", "term", F.get("w", F.col("pos") + 1).alias("next"))
-    pairs = sent(pairs, MOST_SENT).select(F.col("a").alias("term"), F.col("b").alias("next"), F.lit(True).alias("paired"))
-    terms = sent(terms, MOST_SENT).select("term", F.lit(True).alias("listed"))
-    found = tokens.join(pairs, ["term", "next"], "left").join(terms, "term", "left").where("paired or listed")
+    tokens = words.select(*ROW, "w", F.posexplode("w").alias("pos", "term"))
+    found = tokens.join(sent(terms, MOST_SENT).select("term", F.lit(True).alias("listed")), "term", "left")
+    widths = sorted(r[0] for r in grams.select("width").distinct().collect())  # GRAM - 1 numbers at most
+    run = lambda k: F.array_join(F.slice("w", F.col("pos") + 1, k), " ")
+    found = found.select(*ROW, "pos", "term", "listed", *(run(k).alias(f"g{k}") for k in widths))
+    for k in widths:
+        some = sent(grams.where(F.col("width") == k), MOST_SENT).select(F.col("gram").alias(f"g{k}"), F.lit(True).alias(f"hit{k}"))
+        found = found.join(some, f"g{k}", "left")
     one = lambda pos, term: F.struct(pos.alias("pos"), term.alias("term"))
-    here, behind = one(F.col("pos"), F.col("term")), one(F.col("pos") + 1, F.col("next"))
-    post = F.explode(F.when(F.col("paired"), F.array(here, behind)).otherwise(F.array(here)))
-    return found.select(*ROW, post.alias("p")).groupBy(*ROW, "p.term").agg(F.sort_array(F.collect_set("p.pos")).alias("positions"))
+    none = F.array().cast("array<struct<pos:int,term:string>>")
+    spread = lambda k: F.when(F.col(f"hit{k}"), F.transform(F.split(f"g{k}", " "), lambda t, i: one(F.col("pos") + i, t))).otherwise(none)
+    hit = F.coalesce("listed", F.lit(False))
+    for k in widths:
+        hit = hit | F.coalesce(f"hit{k}", F.lit(False))
+    posts = F.concat(F.when(F.col("listed"), F.array(one(F.col("pos"), F.col("term")))).otherwise(none), *map(spread, widths))
+    return found.where(hit).select(*ROW, F.explode(posts).alias("p")).groupBy(*ROW, "p.term").agg(F.sort_array(F.collect_set("p.pos")).alias("positions"))
 
 
 def _ranked(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -152,11 +169,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, distan
     probes = materialize(rarest_pairs(items.where("item_id is not null"), frequencies), "decon-probes")
     whole = probes.select(F.explode(F.array("first", "second")).alias("term")).unionByName(windows.where("len = 1").select(F.col("win").alias("term"))).distinct()
     whole = materialize(whole, "decon-whole")
-    w = F.split("win", " ")
-    beside = F.transform(F.sequence(F.lit(1), F.col("len") - 1), lambda i: F.struct(F.get(w, i - 1).alias("a"), F.get(w, i).alias("b")))
-    pairs = windows.where("len > 1").select(F.explode(beside).alias("p")).select("p.a", "p.b").distinct()
-    pairs = materialize(pairs, "decon-pairs")
-    index = materialize(positional_index(rows, whole, pairs), "decon-index")
+    grams = materialize(window_grams(windows), "decon-grams")
+    index = materialize(positional_index(rows, whole, grams), "decon-index")
 
     matches = materialize(phrase_matches(index, windows, frequencies), "decon-matches")
     places = matches.groupBy(*ROW, "start").agg(F.max(F.col("start") + F.col("len")).alias("stop"))

@@ -347,10 +347,10 @@ def test_index_keeps_what_phrases_and_probes_use(spark):
     docs = frame(spark, [(1, "alpha x x beta", "en", "s", 1), (2, "alpha " + "x " * 20 + "beta", "en", "s", 1), (3, "x x", "en", "s", 1), (4, "y beta x", "en", "s", 1)])
     words = decontaminate.words_table(docs)
     terms = spark.createDataFrame([("alpha",)], "term string")
-    index = decontaminate.positional_index(words, terms, spark.createDataFrame([("beta", "x")], "a string, b string"))
+    index = decontaminate.positional_index(words, terms, spark.createDataFrame([("beta x", 2)], "gram string, width int"))
     assert sorted((r.doc_id, r.term, r.positions) for r in index.collect()) == [(1, "alpha", [0]), (2, "alpha", [0]), (4, "beta", [1]), (4, "x", [2])]
     both = spark.createDataFrame([("alpha",), ("beta",)], "term string")
-    index = decontaminate.positional_index(words, both, spark.createDataFrame([], "a string, b string"))
+    index = decontaminate.positional_index(words, both, spark.createDataFrame([], "gram string, width int"))
     probes = spark.createDataFrame([("5", "beta", "alpha")], "item_id string, first string, second string")
     assert [tuple(r)[:1] + tuple(r)[2:] for r in decontaminate.proximity_matches(index, probes, 5).collect()] == [(1, "5", 3, 0)]
 
