@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagmill.llm.common import discard, materialize, read_table, scratch
+from lagmill.llm.common import discard, materialize, read_table, scratch, sent
 from lagmill.llm.decontaminate import contamination
 from lagmill.llm.mixing import mix
 from lagmill.llm.near_dedup import near_duplicates
@@ -17,6 +17,8 @@ from lagmill.llm.quality_classifier import score_column, train
 from lagmill.llm.sharding import shard
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Names of rows with decisions that are sent to all tasks, at most (some 20 MB); more are joined by a shuffle of the texts.
+MOST_SENT = 200_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,25 +34,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of both instead, so that neither falls with the other. Null ids can't be compared: their rows stay, once per text.
     Null and empty texts are like no other and stay.
     """
-    docs = docs.select(*COLUMNS)
-    th = F.xxhash64("text")
+    docs, th = docs.select(*COLUMNS), F.xxhash64("text")
     copies = materialize(docs.groupBy("doc_id", th.alias("_th")).agg(F.count(F.lit(1)).alias("n")), "pipeline-copies")
     shared = copies.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_shared"))
-    named = docs.join(shared, F.col("doc_id") == F.col("_shared"), "left")
-    named = named.withColumn("_name", F.when(F.col("_shared").isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "text"))).drop("_shared")
-    dropped = near_duplicates(named.select(F.col("_name").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_name")).distinct()
-    left = named.join(dropped, "_name", "left_anti").withColumn("_th", th).drop("_name")
-    repeated = copies.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t"))
-    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_th"])
-    return left.join(repeated, same, "left_anti").unionByName(once).select(*COLUMNS)
+    shared = sent(materialize(shared, "pipeline-shared"), MOST_SENT)
+
+    def named(rows: DataFrame) -> DataFrame:
+        rows = rows.join(shared, F.col("doc_id") == F.col("_shared"), "left")
+        return rows.withColumn("_name", F.when(F.col("_shared").isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "_th"))).drop("_shared")
+
+    near = near_duplicates(named(docs.withColumn("_th", th)).select(F.col("_name").alias("doc_id"), "text"))
+    gone = near.where("not kept").select(F.col("doc_id").alias("_name"), F.lit(True).alias("gone")).distinct()
+    marks = named(copies).join(gone, "_name", "left").where("gone or n > 1").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "gone")
+    marks = sent(materialize(marks, "pipeline-marks"), MOST_SENT)
+    rows = docs.withColumn("_th", th)
+    rows = rows.join(marks, rows["doc_id"].eqNullSafe(marks["_id"]) & (F.col("_th") == F.col("_t")), "left").where("gone is null")
+    once = rows.where("_t is not null").dropDuplicates(["doc_id", "_th"])
+    return rows.where("_t is null").unionByName(once).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage. Null and empty texts hold none and stay, rows with a null doc_id are judged like others."""
     found = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated")
     dropped = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_t")).distinct()
-    docs = docs.select(*COLUMNS)
+    dropped, docs = sent(materialize(dropped, "pipeline-dropped"), MOST_SENT), docs.select(*COLUMNS)
     return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]) & (F.xxhash64("text") == F.col("_t")), "left_anti")
 
 
