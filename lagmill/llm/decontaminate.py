@@ -99,32 +99,26 @@ def _bucket(count: Column) -> Column:
 def phrase_matches(index: DataFrame, windows: DataFrame, frequencies: DataFrame) -> DataFrame:
     """doc_id, th, start, len, win of every place where a window occurs word for word, by intersecting posting lists.
 
-    A list adjusted by its term's offset holds the starts that the term allows. The rarest term's adjusted list gives the candidates, the
-    second rarest's is intersected with it document by document; the others, of which the remaining starts need one posting each, are
-    intersected together, by counting. Lists of frequent terms are dealt by document, so no list has to pass through one task.
+    A list adjusted by its term's offset holds the starts that the term allows. The rarest term's adjusted list gives the candidates; they
+    meet the lists of their own document once, by row, and are intersected with those of the other terms from the rarest on. Lists of
+    frequent terms are dealt by document, so no list has to pass through one task, and a document's lists are no longer than its text.
     """
     ranked = materialize(_ranked(windows, frequencies), "decon-ranked")
-    adjusted = lambda positions, offset: F.filter(F.transform(positions, lambda p: p - F.col(offset)), lambda s: s >= 0)
+    adjusted = lambda positions, offset: F.filter(F.transform(positions, lambda p: p - offset), lambda s: s >= 0)
     first = ranked.select("win", F.col("terms")[0]["n"].alias("n"), F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["offset"].alias("offset"))
     first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / HOT).cast("int") - 1))).drop("n")
     hot = frequencies.where(F.col("n") > HOT)
     dealt = index.join(hot, "term", "left").withColumn("part", F.coalesce(_bucket(F.col("n")), F.lit(0))).drop("n")
-    starts = dealt.join(first, ["term", "part"]).select(*ROW, "win", adjusted("positions", "offset").alias("starts")).where(F.size("starts") > 0)
-    starts = starts.join(ranked, "win").select(*ROW, "win", "len", "starts", F.get("terms", F.lit(1)).alias("t"), F.slice("terms", 3, 2**30).alias("rest"))
-    starts = materialize(starts, "decon-starts")
+    starts = dealt.join(sent(first, MOST_SENT), ["term", "part"]).select(*ROW, "win", adjusted(F.col("positions"), F.col("offset")).alias("starts"))
+    starts = materialize(starts.where(F.size("starts") > 0), "decon-starts")
 
-    other = index.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("term").alias("u"), "positions")
+    lists = index.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("lists"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))
-    second = starts.where("len > 1").join(other, same & (F.col("t.term") == F.col("u")))
-    second = second.withColumn("starts", F.array_intersect("starts", adjusted("positions", "t.offset")))
-    left = second.where(F.size("starts") > 0).select(*ROW, "win", "len", F.explode("starts").alias("start"), "rest")
-    left = materialize(left.unionByName(starts.where("len = 1").select(*ROW, "win", "len", F.explode("starts").alias("start"), "rest")), "decon-left")
-
-    wanted = left.where("len > 2").select(*ROW, "win", "len", "start", F.explode("rest").alias("t"))
-    wanted = wanted.withColumn("at", F.col("start") + F.col("t.offset"))
-    places = other.select("d", "h", "u", F.explode("positions").alias("p"))
-    counted = wanted.join(places, same & (F.col("t.term") == F.col("u")) & (F.col("at") == F.col("p"))).groupBy(*ROW, "win", "len", "start").agg(F.count(F.lit(1)).alias("c"))
-    return counted.where("c = len - 2").drop("c").unionByName(left.where("len <= 2").select(*ROW, "win", "len", "start"))
+    # Windows' terms are some ten times as wide as a term.
+    met = starts.join(lists, same).drop("d", "h").join(sent(ranked, MOST_SENT // 10), "win")
+    listed = lambda t: adjusted(F.try_element_at("lists", t["term"]), t["offset"])
+    left = F.aggregate(F.slice("terms", 2, F.size("terms")), F.col("starts"), lambda some, t: F.array_intersect(some, listed(t)))
+    return met.select(*ROW, "win", "len", F.explode(left).alias("start"))
 
 
 def rarest_pairs(items: DataFrame, frequencies: DataFrame) -> DataFrame:
