@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-#: Pass bands in Hz.
+#: Pass bands in Hz, and the stops of a band that has its own.
 BANDS = {
-    "vlf": (0.0, 0.009), "lfo": (0.01, 0.15), "lfo_legacy": (0.01, 0.15), "lfo_tight": (0.01, 0.1), "resp": (0.2, 0.5), "cardiac": (0.66, 3.0),
+    "vlf": (0.0, 0.009), "lfo": (0.01, 0.15), "lfo_legacy": (0.01, 0.15, 0.009, 0.2), "lfo_tight": (0.01, 0.1), "resp": (0.2, 0.5), "cardiac": (0.66, 3.0),
     "hrv_ulf": (0.0, 0.0033), "hrv_vlf": (0.0033, 0.04), "hrv_lf": (0.04, 0.15), "hrv_hf": (0.15, 0.4), "hrv_vhf": (0.4, 0.5),
 }
 TRANSITION = 0.05
@@ -49,8 +49,10 @@ def padded(x: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([x[:, :n][:, ::-1], x, x[:, x.shape[1] - n :][:, ::-1]], axis=1)
 
 
-def transfer(f: np.ndarray, low: float, high: float, kind: str, order: int = 6) -> np.ndarray:
-    """Gain at frequencies f of a zero-phase filter that passes low..high; low 0 makes it a low-pass, high 0 a high-pass."""
+def transfer(f: np.ndarray, low: float, high: float, kind: str, order: int = 6, stops: tuple[float, float] | None = None) -> np.ndarray:
+    """Gain at frequencies f of a zero-phase filter that passes low..high; low 0 makes it a low-pass, high 0 a high-pass. stops: where a trapezoid's
+    ramps end, TRANSITION beyond the band if not given."""
+    low_stop, high_stop = stops or (low * (1 - TRANSITION), high * (1 + TRANSITION))
 
     def low_pass(edge: float, stop: float) -> np.ndarray:
         if kind == "brickwall":
@@ -65,15 +67,16 @@ def transfer(f: np.ndarray, low: float, high: float, kind: str, order: int = 6)
 
     gain = np.ones_like(f)
     if high > 0 and high < f[-1]:
-        gain = gain * low_pass(high, high * (1 + TRANSITION))
+        gain = gain * low_pass(high, high_stop)
     if low > 0:
-        gain = gain * (1 - low_pass(low * (1 - TRANSITION), low))
+        gain = gain * (1 - low_pass(low_stop, low))
     return gain
 
 
-def band_filter(rate: float, band: str | tuple[float, float], kind: str = "trapezoidal", stop: bool = False, pad_seconds: float = 30.0) -> Callable[[np.ndarray], np.ndarray]:
-    """Zero-phase band-pass, or what it leaves out (stop), with reflected padding. A band above the Nyquist frequency is an error."""
-    low, high = BANDS[band] if isinstance(band, str) else band
+def band_filter(rate: float, band: str | tuple[float, ...], kind: str = "trapezoidal", stop: bool = False, pad_seconds: float = 30.0) -> Callable[[np.ndarray], np.ndarray]:
+    """Zero-phase band-pass, or what it leaves out (stop), with reflected padding. A band is low, high and
+    its stops, if it has its own. A band above the Nyquist frequency is an error."""
+    low, high, *stops = BANDS[band] if isinstance(band, str) else band
     if low >= rate / 2:
         raise ValueError("the band lies above the Nyquist frequency")
 
@@ -81,7 +84,7 @@ def band_filter(rate: float, band: str | tuple[float, float], kind: str = "trape
         n = min(int(pad_seconds * rate), x.shape[1])
         y = padded(x, n)
         f = np.fft.rfftfreq(y.shape[1], 1 / rate)
-        out = np.fft.irfft(np.fft.rfft(y, axis=1) * transfer(f, low, high, kind), y.shape[1], axis=1)[:, n : n + x.shape[1]]
+        out = np.fft.irfft(np.fft.rfft(y, axis=1) * transfer(f, low, high, kind, stops=tuple(stops) or None), y.shape[1], axis=1)[:, n : n + x.shape[1]]
         return x - out if stop else out
 
     return run
@@ -110,6 +113,24 @@ def poly_detrend(order: int) -> Callable[[np.ndarray], np.ndarray]:
     return run
 
 
+def nearest_root(low: float, high: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Rows c: the real root of 1 + c[0] x + c[1] x**2 + ... of least size within low..high, or 0 where there is none. The roots' reciprocals
+    are the eigenvalues of a matrix with ones below the diagonal and -c in its first row, whatever coefficients are 0."""
+
+    def run(c: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(c), c.shape[1], c.shape[1]))
+        m[:, 0] = -c
+        m[:, np.arange(1, c.shape[1]), np.arange(c.shape[1] - 1)] = 1
+        y = np.linalg.eigvals(m)
+        real = (np.abs(y.imag) <= 1e-9 * np.maximum(np.abs(y), 1)) & (np.abs(y) > 1e-12)
+        x = 1 / np.where(real, y.real, np.inf)
+        ok = real & (x >= low) & (x <= high)
+        size = np.where(ok, np.abs(x), np.inf)
+        return np.where(ok.any(axis=1), np.take_along_axis(x, size.argmin(axis=1)[:, None], 1)[:, 0], 0.0)
+
+    return run
+
+
 def savgol(length: int, order: int) -> Callable[[np.ndarray], np.ndarray]:
     """Savitzky-Golay smoothing; the ends are taken from the polynomial of the first and last whole window."""
     half = length // 2

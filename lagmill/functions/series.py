@@ -114,6 +114,13 @@ def detrend(a: Column) -> Column:
     return let(line(a), lambda f: F.transform(a, lambda x, i: x - f["at_zero"] - f["slope"] * i))
 
 
+def flatten_outliers(a: Column, most: float) -> Column:
+    """a with samples put on its least-squares line where what is left of them beyond it is more than most median deviations from its median."""
+    left = lambda f: F.transform(a, lambda x, i: x - f["at_zero"] - f["slope"] * i)
+    kept = lambda d: let(normalize(d, "mad"), lambda z: F.zip_with(d, z, lambda x, u: F.when(F.abs(u) > most, 0.0).otherwise(x)))
+    return let(line(a), lambda f: let(left(f), lambda d: F.transform(kept(d), lambda x, i: x + f["at_zero"] + f["slope"] * i)))
+
+
 def corr_normalize(a: Column, detrended: bool = True, window: str = "hamming") -> Column:
     """Detrend, scale, taper, scale and divide by the root of the length: dot products of two such series are Pearson correlations."""
     first = let(detrend(a), lambda d: normalize(d, "z")) if detrended else normalize(a, "z")
