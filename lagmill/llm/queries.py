@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lagmill.llm.bpe_codec import round_trip
 from lagmill.llm.common import materialize, new_path, read_table, remove, scratch
 from lagmill.llm.decontaminate import contamination
+from lagmill.llm.lexical_search import search
 from lagmill.llm.license_scan import license_matches
 from lagmill.llm.mixing import mix_plan
 from lagmill.llm.near_dedup import near_duplicates
@@ -15,6 +17,7 @@ from lagmill.llm.quality_classifier import classify
 from lagmill.llm.quality_rules import quality_rules
 from lagmill.llm.secret_scan import secret_digests
 from lagmill.llm.sharding import shard
+from lagmill.llm.spelling import spelling_variants
 from lagmill.llm.token_count import default_path, token_counts
 from lagmill.llm.warc import assemble, capture_pages, read_archives, write_archives
 
@@ -78,11 +81,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return round_trip(read_table(spark, sf_dir, "documents"), default_path(name="byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_license_scans, op3_mixing, op4_near_dedup, op5_secret_scans, op6_decontamination, op7_sharding,
-        op8_quality_rules, op9_token_counts, op10_warc,
+        op8_quality_rules, op9_token_counts, op10_warc, op11_lexical_search, op12_spelling_variants, op13_bpe_round_trip,
     )
 }
 
@@ -194,10 +212,66 @@ SELECT page_id, n AS payload_bytes,
 FROM r
 """
 
+OP11_SQL = """
+WITH dt AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, coalesce(sum(len(w)), 0)::BIGINT AS n_terms FROM dt),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+held AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM dt) WHERE t IN (SELECT t FROM asked) GROUP BY rid, t),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM held, totals GROUP BY t),
+lengths AS (SELECT rid, doc_id, 10 + (90 * len(w) * n_docs) // greatest(n_terms, 1) AS m FROM dt, totals),
+scored AS (
+  SELECT item_id, rid, any_value(doc_id) AS doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN held USING (t) JOIN weights USING (t) JOIN lengths USING (rid) GROUP BY item_id, rid),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+#: Fixed value: 3988292384 is the reversed polynomial of the CRC-32.
+OP12_SQL = """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY n) AS tbl FROM (
+    SELECT n, list_reduce(range(0, 8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, n) AS c
+    FROM (SELECT unnest(range(0, 256)) AS n))),
+runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'),
+    lambda x: ('0x' || x)::BIGINT), lambda a, x: xor(a >> 8, tbl[(xor(a, x) & 255) + 1]), 4294967295)) AS h FROM runs, crc_table),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+cuts AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM cut),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS i FROM near),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.i = 1),
+walk AS (
+  SELECT word, word AS root, form AS further FROM formed
+  UNION ALL
+  SELECT k.word, f.word, f.form FROM walk k JOIN formed f ON f.word = k.further)
+SELECT f.word, f.form, k.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word AND k.further IS NULL
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op4_near_dedup": OP4_SQL,
     "op6_decontamination": OP6_SQL,
     "op7_sharding": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
