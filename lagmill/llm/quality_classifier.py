@@ -131,7 +131,8 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> TreeModel:
     """Fit on the statistics of at most `most` labelled documents that aren't held out. Several labels of an id count as their
-    minimum; null ids and labels train nothing. The sample's ids are bounded by `most`, so they are broadcast."""
+    minimum, and of several texts of an id the one of least hash trains; null ids and labels train nothing. The sample's ids are bounded by
+    `most`, so they are broadcast, and so are the rows that reach the driver."""
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").alias("_quality"))
@@ -142,8 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Tree
         for pdf in frames:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["_quality"], "x": [document_statistics(t) for t in pdf["text"]]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("_quality").cast("double").alias("_quality"))
-    rows = rows.mapInPandas(measured, "doc_id long, y double, x array<float>").limit(2 * most).toPandas().sort_values("doc_id", kind="stable")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(one, F.min(F.col("_quality").cast("double")).alias("_quality"))
+    rows = rows.mapInPandas(measured, f"doc_id {kind}, y double, x array<float>").toPandas().sort_values("doc_id", kind="stable")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.empty((0, len(FEATURES)), np.float32)
     return fit_trees(x, rows["y"].to_numpy(np.float64))
 

@@ -25,17 +25,22 @@ HEX = re.compile(r"[0-9a-f]+")
 _LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
+#: Escapes of a character, however often their backslash or ampersand was escaped again. A run of backslashes is entered at its start only.
+_ESCAPE = re.compile(
+    r"(?:(?<!\\)\\++|%)u([0-9A-Fa-f]{4})|(?<!\\)\\++(?:u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))|&(?:amp;)*+#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
 _BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Blocks of lines in one alphabet, and their lines; line breaks may be written as in a string literal, and lines be indented or quoted.
+#: Blocks of lines in one alphabet, and their lines; line breaks may be written as in a string literal, and lines be indented or quoted. A run is
+#: entered at its start and left at its end only, so that time grows with the text's length.
 _BREAK = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t>#*]*"
-_BASE64_BLOCKS = [(re.compile(f"[{a}]{{16,}}(?:{_BREAK}[{a}]+)+={{0,2}}"), re.compile(_BREAK)) for a in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
+_BASE64_BLOCKS = [(re.compile(f"(?<![{a}])[{a}]{{16,}}+(?:{_BREAK}[{a}]++)+={{0,2}}"), re.compile(_BREAK)) for a in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
 _PERCENT_PACKED = re.compile(r"(?:%1f%8b|(?:x|%78)(?:%01|%5e|\^|%9c|%da)|(?:B|%42)(?:Z|%5a)(?:h|%68))(?:%[0-9a-f]{2}|[\w.~!*'()/$,:;@+^-])*", re.IGNORECASE | re.ASCII)
 #: How compressed data begin, looked for behind other bytes.
 _PACKED_INSIDE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|BZh[1-9]1AY&SY|\x78[\x01\x5e\x9c\xda]")
 #: Content of compressed data is unpacked in pieces and scanned in windows of so many bytes with a margin of their neighbours, so that memory is
 #: bounded and nothing is left out; a match longer than the margin at a window's end is marked in `cut`.
 PIECE, WINDOW, MARGIN = 1 << 20, 4 << 20, 1 << 16
+#: Bytes behind such a beginning that must unpack before the rest is tried.
+PEEK = 512
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -77,7 +82,7 @@ def _url_layer(text: str):
 def _escape_layer(text: str):
     spans = []
     for m in _ESCAPE.finditer(text):
-        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
+        code = int(m[6]) if m[6] else int(m[1] or m[2] or m[3] or m[4] or m[5], 16)
         if code < 0x110000 and not 0xD800 <= code < 0xE000:
             spans.append((m.start(), m.end(), chr(code), [0, m.end() - m.start()]))
     return _substituted(text, spans) if spans else None
@@ -91,6 +96,15 @@ def _decoder(head: bytes):
     return bz2.BZ2Decompressor() if head[:3] == b"BZh" else None
 
 
+def _opens(head: bytes) -> bool:
+    """Whether the first bytes of data behind others may be compressed ones: copies and unpacks a few of them only."""
+    try:
+        d = _decoder(head)
+        return d is not None and (d.decompress(head) is not None)
+    except (zlib.error, OSError, ValueError):
+        return False
+
+
 def _members(pieces: Iterator[bytes], cut: list[bool]) -> Iterator[bytes]:
     """The content of all members of compressed pieces, then the bytes behind them. cut gets an item if a member is damaged or has no end."""
     data = b""
@@ -211,6 +225,8 @@ def _packed_layers(text: str):
             yield from layers(start, end, data, "base64", 0)
             inside = iter(()) if _decoder(data) else _PACKED_INSIDE.finditer(data)
             for m in inside:  # the first that unpacks takes all members behind it
+                if not _opens(data[m.start() : m.start() + PEEK]):
+                    continue
                 behind = layers(start, end, data[m.start() :], "base64", 1)
                 if (first := next(behind, None)) is not None:
                     yield first
@@ -257,7 +273,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, str, str, bool]]
             if lo <= place[0] < hi:
                 found.setdefault((kind, path, *place, layer[s:e]), (via, cut if stop is None or place[1] < stop else [True]))
         for name, decode in (("unicode", _escape_layer), ("url", _url_layer)):
-            if (got := decode(layer) if ("%" in layer if name == "url" else "\\" in layer or "&#" in layer) else None) is not None:
+            if (got := decode(layer) if ("%" in layer if name == "url" else any(x in layer for x in ("\\", "&#", "&amp;", "%u"))) else None) is not None:
                 new, s, e = got
                 origin = (s, e) if starts is None else (starts[s], ends[e - 1])
                 work.append(iter([(new, *origin, path, f"{via}>{name}".lstrip(">"), cut, lo, hi, stop)]))
@@ -305,8 +321,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """scan_secrets() with n_assign, n_access, n_hex, base_sha256 and spans."""
+    """scan_secrets() with n_assign, n_access, n_hex, base_sha256, spans, and cut: whether a part of what encloses a finding could not be read."""
     base = F.filter("findings", lambda x: x["via"] == "")
     count = lambda k: F.size(F.filter("findings", lambda x: (x["via"] == "") & (x["kind"] == k))).cast("long").alias(f"n_{k}")
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return scan_secrets(docs).select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+    return scan_secrets(docs).select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"), F.exists("findings", lambda x: x["cut"]).alias("cut"))

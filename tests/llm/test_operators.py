@@ -9,6 +9,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -531,8 +532,11 @@ def test_hashes_of_shingles_follow_the_words():
     assert near_dedup.shingle_set(b"a b")[0] == xxhash.xxh64_intdigest(b"a b")
 
 
-def test_estimate_has_the_least_determinant(spark):
-    """Concentration against all subsets of a small table: the determinant is the least one, where outliers stand apart."""
+@pytest.mark.parametrize("shrink", [0, quality_rules.SHRINK])
+def test_estimate_has_the_least_determinant(spark, monkeypatch, shrink):
+    """Concentration against all subsets of a small table, without and with the wider estimate: the determinant is the least one, where
+    outliers stand apart."""
+    monkeypatch.setattr(quality_rules, "SHRINK", shrink)
     names = list(quality_rules.VECTOR)
     for seed in range(2):
         rng = np.random.default_rng(seed)
@@ -549,7 +553,7 @@ def test_estimate_has_the_least_determinant(spark):
         edge = lambda v: (np.floor(v / quality_rules.BIN) + 0.5) * quality_rules.BIN
         floor = np.diag([v**2 for v in quality_rules.VECTOR.values()])
         wide = np.diag(((edge(hi) - edge(lo)) / 1.349) ** 2) + floor
-        share = len(x) ** 2 / (len(x) ** 2 + quality_rules.SHRINK**2)
+        share = len(x) ** 2 / (len(x) ** 2 + shrink**2)
         blend = lambda part: share * (np.cov(part.T, bias=True) + floor) + (1 - share) * wide
         least = min(np.linalg.slogdet(blend(x[list(c)]))[1] for c in itertools.combinations(range(12), 9))
         center = share * x[:9].mean(axis=0) + (1 - share) * edge(mid)
@@ -603,3 +607,36 @@ def test_short_licenses_against_all_alignments(spark):
     table = spark.createDataFrame([("own", "all rights are given away"), (None, "x"), ("none", None)], "license string, text string")
     docs = frame(spark, [(1, "here all rights are given away now", "en", "s", 1), (2, None, "en", "s", 1)])
     assert [(r.doc_id, r.license, r.coverage) for r in license_scan.license_matches(docs, table).collect()] == [(1, "own", 1.0)]
+
+
+def test_unicode_escapes_in_all_forms():
+    secret = "password=abcdef123456XY"
+    forms = ("\\u{{{:x}}}", "\\U{:08x}", "\\\\u{:04x}", "\\\\\\\\x{:02x}", "&amp;#x{:x};", "&amp;amp;#{:d};", "%u{:04x}")
+    for form in forms:
+        code = "".join(form.format(ord(c)) for c in secret)
+        found = secret_scan.find_secrets(f"a {code} b")
+        assert ("assign", 2, 2 + len(code), "unicode", secret, False) in found, form
+
+
+def test_long_runs_take_time_in_proportion():
+    """Lines of a million characters: an inline image, and what each pattern could go back over."""
+    rng = random.Random(6)
+    image = base64.b64encode(rng.randbytes(750_000)).decode()
+    lines = "\n".join(re.findall(".{1,76}", image))
+    stuck = ("A" * 10**6, "A" * 15 + " " * 10**6, "password" + " " * 10**6, "\\" * 10**6, "&amp;" * 200_000, "%41" * 300_000, "x%01" * 250_000, "AKIA" * 250_000, "a\n" * 500_000)
+    for text in (f"data:image/png;base64,{image}", lines, *stuck):
+        began = time.perf_counter()
+        secret_scan.find_secrets(text)
+        assert time.perf_counter() - began < 20, text[:40]
+    assert any(x[4] == "password=abcdef123456XY" for x in secret_scan.find_secrets(f"{lines}\n{base64.b64encode(b'  password=abcdef123456XY').decode()}\n"))
+
+
+def test_classifier_takes_one_text_of_an_id(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 80, 500) if i % 2 else "# " * 60, "en", "s", 1) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    plain = quality_classifier.train(frame(spark, rows), labels)
+    more = [r for r in rows for _ in range(5)]
+    again = quality_classifier.train(frame(spark, more[::-1]), labels)
+    x = np.random.default_rng(1).random((50, len(quality_classifier.FEATURES))).astype(np.float32)
+    assert (plain.scores(x) == again.scores(x)).all()
