@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lagmill.operators import candidates, lags
 from lagmill.plans.catalog import GRID, MOST_LAG, ORACLE_SQL, correlogram_rows, grid_map, query, rounded, rounds
 from lagmill.plans.catalog_flow import TOUCH
-from lagmill.sources.tables import materialize
+from lagmill.sources import volume_source
+from lagmill.sources.tables import materialize, new_path, remove
 
 
 def candidate_cells(spark, sf_dir):
@@ -59,3 +60,20 @@ def candidate_modes(spark, sf_dir):
     start = cells.where(F.size("lags") > 0).select("id", F.get("lags", F.lit(0)).alias("tau"))
     found = candidates.conditional_modes(cells, start, MODES).where("tau is not null")
     return rounded(found.select(F.col("id").alias("series_id"), "tau"))
+
+
+@query(f"""
+WITH {GRID}, n AS (SELECT max(z) + 1 AS nz FROM g), i AS (SELECT unnest(range(0, 64 * nz)) AS id FROM n)
+SELECT id AS series_id, (id % 8)::INT AS x, (id // 8 % 8)::INT AS y, (id // 64)::INT AS z, t::INT AS t, coalesce(embedding[t + 1], 0)::DOUBLE AS v, coalesce(a, 0)::DOUBLE AS first
+FROM i LEFT JOIN g ON g.series_id = id, range(0, 64) r(t)""")
+def volumes_written_and_read(spark, sf_dir):
+    """The series on their grid as a volume of 64 steps and a map, written by the data source and read back; cells without a series hold 0."""
+    rows = grid_map(spark, sf_dir).select("x", "y", "z", F.col("values").alias("series"), F.get("values", F.lit(0)).alias("first"))
+    depth = rows.agg(F.max("z")).first()[0] + 1
+    root = new_path(spark, "volumes")
+    series, first = volume_source.save_maps(rows, f"{root}/all", (8, 8, depth), step=2.0, steps=64)
+    one = volume_source.load(spark, first).select("series_id", F.get("values", F.lit(0)).alias("first"))
+    both = volume_source.load(spark, series).join(one, "series_id")
+    out = materialize(both.select("series_id", "x", "y", "z", F.posexplode("values").alias("t", "v"), "first"), "volumes-read")
+    remove(spark, root)
+    return out
