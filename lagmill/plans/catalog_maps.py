@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lagmill.operators import candidates, lags
-from lagmill.plans.catalog import GRID, MOST_LAG, ORACLE_SQL, correlogram_rows, grid_map, query, rounded, rounds
+from lagmill.operators import candidates, lags, optical, streamlines
+from lagmill.plans.catalog import CORRELOGRAM, GRID, MOST_LAG, ORACLE_SQL, correlogram_rows, grid_map, query, rounded, rounds
 from lagmill.plans.catalog_flow import TOUCH
 from lagmill.sources import volume_source
 from lagmill.sources.tables import materialize, new_path, remove
@@ -77,3 +77,80 @@ def volumes_written_and_read(spark, sf_dir):
     out = materialize(both.select("series_id", "x", "y", "z", F.posexplode("values").alias("t", "v"), "first"), "volumes-read")
     remove(spark, root)
     return out
+
+
+def unit_field(spark, sf_dir):
+    """Three values of each series as the direction at its cell."""
+    rows = grid_map(spark, sf_dir).select("x", "y", "z", *(F.get("values", F.lit(i)).alias(f"u{a}") for i, a in enumerate("xyz")))
+    length = F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy") + F.col("uz") * F.col("uz"))
+    return rows.select("x", "y", "z", *((F.col(f"u{a}") / length).alias(f"u{a}") for a in "xyz"))
+
+
+STEP, STEPS = 0.5, 12
+
+
+def stage(rows: str, name: str, point: str) -> str:
+    """rows with the unit direction at a point (three expressions) as name_x, name_y, name_z, null where a line ends."""
+    px, py, pz = point.split(";")
+    weight = " * ".join(f"CASE WHEN c.d{a} = 1 THEN {p} - floor({p}) ELSE 1 - ({p} - floor({p})) END" for a, p in zip("xyz", (px, py, pz), strict=True))
+    return f"""(SELECT *, CASE WHEN i_w >= 0.5 AND i_n >= 1e-6 THEN i_x / i_n END AS {name}_x, CASE WHEN i_w >= 0.5 AND i_n >= 1e-6 THEN i_y / i_n END AS {name}_y,
+  CASE WHEN i_w >= 0.5 AND i_n >= 1e-6 THEN i_z / i_n END AS {name}_z FROM (SELECT r.*, i.*, sqrt(i_x * i_x + i_y * i_y + i_z * i_z) AS i_n FROM {rows} r, LATERAL (
+  SELECT sum(w) AS i_w, sum(w * ux) AS i_x, sum(w * uy) AS i_y, sum(w * uz) AS i_z FROM (
+    SELECT {weight} AS w, ux, uy, uz FROM corners c JOIN u ON u.x = floor({px}) + c.dx AND u.y = floor({py}) + c.dy AND u.z = floor({pz}) + c.dz)) i))"""
+
+
+def _stepped() -> str:
+    at = lambda f, k: ";".join(f"(p{a} + {f}::DOUBLE * half * {STEP}::DOUBLE * {k}_{a})" for a in "xyz")
+    drop = lambda q: f"(SELECT * EXCLUDE (i_w, i_x, i_y, i_z, i_n) FROM {q})"
+    rows = drop(stage("t", "k1", "px;py;pz"))
+    for name, before, f in (("k2", "k1", 0.5), ("k3", "k2", 0.5), ("k4", "k3", 1.0)):
+        rows = drop(stage(f"(SELECT * FROM {rows} WHERE {before}_x IS NOT NULL)", name, at(f, before)))
+    mean = ", ".join(f"(k1_{a} + 2 * k2_{a} + 2 * k3_{a} + k4_{a}) / 6 AS v{a}" for a in "xyz")
+    return f"(SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS n FROM (SELECT *, {mean} FROM {rows} WHERE k4_x IS NOT NULL))"
+
+
+TRACED = f"""{GRID}, u AS (SELECT x, y, z, embedding[1]::DOUBLE / n AS ux, embedding[2]::DOUBLE / n AS uy, embedding[3]::DOUBLE / n AS uz FROM (
+  SELECT *, sqrt(embedding[1]::DOUBLE * embedding[1]::DOUBLE + embedding[2]::DOUBLE * embedding[2]::DOUBLE + embedding[3]::DOUBLE * embedding[3]::DOUBLE) AS n FROM g)),
+corners AS (SELECT dx, dy, dz FROM range(0, 2) a(dx), range(0, 2) b(dy), range(0, 2) c(dz)),
+t AS (
+  SELECT series_id, h::INT AS half, 0 AS k, x::DOUBLE AS px, y::DOUBLE AS py, z::DOUBLE AS pz, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly, NULL::DOUBLE AS lz
+  FROM g, (VALUES (1), (-1)) s(h) WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0
+  UNION ALL
+  SELECT series_id, half, k + 1, px + half * {STEP}::DOUBLE * vx / n, py + half * {STEP}::DOUBLE * vy / n, pz + half * {STEP}::DOUBLE * vz / n, vx / n, vy / n, vz / n
+  FROM {_stepped()} WHERE n >= 1e-6 AND k < {STEPS} AND (lx IS NULL OR lx * vx + ly * vy + lz * vz >= 0))"""
+
+
+@query(f"""
+WITH RECURSIVE {TRACED}, o AS (SELECT series_id, half * k AS place, px AS x, py AS y, pz AS z FROM t WHERE half = 1 OR k > 0),
+l AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2) AS gone FROM o WINDOW w AS (PARTITION BY series_id ORDER BY place))
+SELECT series_id, place::INT AS place, {rounds("x", "y", "z", "sum(gone) OVER (PARTITION BY series_id) AS length")} FROM l QUALIFY sum(gone) OVER (PARTITION BY series_id) >= 1""")
+def streamlines_traced(spark, sf_dir):
+    """Lines of fixed steps through a field of directions, from every other cell along each axis, both ways."""
+    field = materialize(unit_field(spark, sf_dir), "field")
+    seeds = grid_map(spark, sf_dir).where("x % 2 = 0 and y % 2 = 0 and z % 2 = 0").select(F.col("series_id").alias("seed_id"), "x", "y", "z")
+    found = streamlines.spliced(streamlines.traced(field, seeds, step=STEP, most_steps=STEPS, block=4), least=1.0)
+    return rounded(found.withColumnRenamed("seed_id", "series_id"))
+
+
+def _flow_sql() -> str:
+    """Sums of products of derivatives of the correlograms over lag and the 27 cells around, and the least-squares velocity by Cramer's rule."""
+    beside = " ".join(f"LEFT JOIN b {a}{n} ON {a}{n}.lag = b.lag AND " + " AND ".join(f"{a}{n}.{c} = b.{c}" + (f" {s} 1" if c == a else "") for c in "xyz") for a in "xyz" for n, s in (("p", "+"), ("m", "-")))
+    d = ", ".join(f"(coalesce({a}p.c, b.c) - coalesce({a}m.c, b.c)) / 2 AS d{a}" for a in "xyz")
+    sums = ", ".join(f"sum(greatest(c, 0) * d{p[0]} * d{p[1]}) AS {p}" for p in optical.PRODUCTS)
+    near = ", ".join(f"sum(exp(-0.5::DOUBLE * ((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) / 0.765625::DOUBLE) * q.{p}) AS {p}" for p in optical.PRODUCTS)
+    det = lambda r: "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))".format(*r)
+    m, b = ["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"], ["-xt", "-yt", "-zt"]
+    swap = lambda k: det([b[i // 3] if i % 3 == k else m[i] for i in range(9)])
+    return f"""{CORRELOGRAM}, {GRID.replace("g AS", "places AS", 1)}, b AS (SELECT series_id, x, y, z, lag, c FROM c JOIN places USING (series_id)),
+e AS (SELECT b.series_id, b.x, b.y, b.z, b.c, {d}, (lead(b.c, 1, b.c) OVER w - lag(b.c, 1, b.c) OVER w) / 2 AS dt FROM b {beside} WINDOW w AS (PARTITION BY b.series_id ORDER BY b.lag)),
+o AS (SELECT series_id, x, y, z, {sums} FROM e GROUP BY ALL),
+n AS (SELECT p.series_id, {near} FROM o p JOIN o q ON abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 AND abs(p.z - q.z) <= 1 GROUP BY p.series_id)
+SELECT series_id, {rounds(*optical.PRODUCTS)}, {rounds(*(f"{swap(k)} / {det(m)} AS v{a}" for k, a in enumerate("xyz")))} FROM n"""
+
+
+@query(_flow_sql())
+def optical_flow(spark, sf_dir):
+    """Velocity of the correlograms' pattern by plain least squares in all directions, and the sums it rests on."""
+    cells = correlogram_rows(spark, sf_dir).select("series_id", "corr").join(grid_map(spark, sf_dir).select("series_id", "x", "y", "z"), "series_id")
+    found = optical.velocities(optical.flow_sums(cells.withColumnRenamed("series_id", "id"), radius=1.75), 0.0, total=False)
+    return rounded(found.select(F.col("id").alias("series_id"), *optical.PRODUCTS, "vx", "vy", "vz"))
