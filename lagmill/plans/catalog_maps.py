@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lagmill.operators import candidates, lags, optical, streamlines
+from lagmill.operators import candidates, lags, optical, partition, streamlines
 from lagmill.plans.catalog import CORRELOGRAM, GRID, MOST_LAG, ORACLE_SQL, correlogram_rows, grid_map, query, rounded, rounds
 from lagmill.plans.catalog_flow import TOUCH
 from lagmill.sources import volume_source
@@ -154,3 +154,24 @@ def optical_flow(spark, sf_dir):
     cells = correlogram_rows(spark, sf_dir).select("series_id", "corr").join(grid_map(spark, sf_dir).select("series_id", "x", "y", "z"), "series_id")
     found = optical.velocities(optical.flow_sums(cells.withColumnRenamed("series_id", "id"), radius=1.75), 0.0, total=False)
     return rounded(found.select(F.col("id").alias("series_id"), *optical.PRODUCTS, "vx", "vy", "vz"))
+
+
+CHANCE = "('0x' || substr(md5('7:' || {0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(f"""
+WITH RECURSIVE {GRID}, e AS (SELECT p.series_id AS i, q.series_id AS j FROM g p JOIN g q ON abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) = 1),
+f AS (SELECT series_id, row_number() OVER (ORDER BY {CHANCE.format("series_id::VARCHAR")}, series_id) - 1 AS k FROM g),
+m AS (
+  SELECT series_id AS i, CASE WHEN k < 12 THEN k::INT END AS region, 0 AS step FROM f
+  UNION ALL
+  SELECT m.i, coalesce(m.region, w.region), m.step + 1 FROM m LEFT JOIN (
+    SELECT i, first(region ORDER BY race, region) AS region FROM (
+      SELECT DISTINCT e.i, t.region, -ln(1 - {CHANCE.format("e.i::VARCHAR || ':' || t.region::VARCHAR")}) * (s.size + 1) ** 2 AS race
+      FROM e JOIN m t ON t.i = e.j AND t.region IS NOT NULL JOIN (SELECT region, count(*) AS size FROM m WHERE region IS NOT NULL GROUP BY region) s ON s.region = t.region) GROUP BY i) w ON w.i = m.i
+  WHERE EXISTS (SELECT 1 FROM m q WHERE q.region IS NULL))
+SELECT i AS series_id, region FROM m QUALIFY step = max(step) OVER ()""")
+def regions_grown(spark, sf_dir):
+    """The grid parted into twelve connected regions of like size."""
+    cells = grid_map(spark, sf_dir).select(F.col("series_id").alias("id"), "x", "y", "z")
+    return partition.grown_regions(cells, 12, 7, 2.0).withColumnRenamed("id", "series_id")
