@@ -201,6 +201,35 @@ def generalized_correlation(most: int, weighting: str = "phat", share: float = 0
     return run
 
 
+def corr_normalized(x: np.ndarray) -> np.ndarray:
+    """Rows less their lines, scaled, under a Hamming window, scaled again, over the root of the length: dot products are Pearson correlations."""
+    n = x.shape[1]
+    t = np.arange(n) - (n - 1) / 2
+    x = x - x.mean(axis=1, keepdims=True) - np.outer(x @ t / (t @ t), t)
+    return standardized(standardized(x) * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / n))) / n**0.5
+
+
+def aliased_correlation(steps: int, most: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], list]:
+    """Correlograms, at the finer rate, of rows sampled at every steps-th place from an offset on with rows that have all places: the former are spread
+    over their places with zeros between, both are normalised, and the root of steps makes up for the zeros. None where a row doesn't have as
+    many samples as there are such places."""
+
+    def run(lo: np.ndarray, hi: np.ndarray, offset: np.ndarray) -> list:
+        n, out = hi.shape[1], [None] * len(lo)
+        for k in np.unique(offset).astype(int):
+            if 0 <= k < steps and -(-(n - k) // steps) == lo.shape[1]:
+                at = np.flatnonzero(offset == k)
+                fine = np.zeros((len(at), n))
+                fine[:, k::steps] = lo[at]
+                f, h = corr_normalized(fine), corr_normalized(hi[at])
+                c = np.column_stack([np.einsum("ij,ij->i", f[:, max(g, 0) : n + min(g, 0)], h[:, max(-g, 0) : n - max(g, 0)]) for g in range(-most, most + 1)])
+                for i, row in zip(at, c * steps**0.5, strict=True):
+                    out[i] = row
+        return out
+
+    return run
+
+
 def coherence(segment: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Magnitude-squared coherence by Welch's method: Hann segments that overlap by half, means removed."""
     w = np.hanning(segment + 1)[:-1]

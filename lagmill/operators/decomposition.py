@@ -57,6 +57,45 @@ def loadings(series: DataFrame, components: np.ndarray) -> DataFrame:
     return series.select("series_id", K.by_batch(lambda x: x @ components.T, F.col("values")).alias("loadings"))
 
 
+def complex_components(series: DataFrame, length: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(components, variances, mean) of complex series (re, im: arrays of one length): leading directions of the Hermitian covariance about the mean
+    series, each of unit length and with its largest entry real and positive. Batches add the products of real and imaginary parts side by
+    side, from which the complex ones follow; the driver sees (2 * length + 1) ** 2 numbers."""
+    n, sums, products = second_moments(series.select(F.concat("re", "im").alias("values")), 2 * length)
+    n, mean = max(n, 1), (sums[:length] + 1j * sums[length:]) / max(n, 1)
+    aa, ab, bb = products[:length, :length], products[:length, length:], products[length:, length:]
+    cov = (aa + bb + 1j * (ab - ab.T)) / n - np.outer(mean.conj(), mean)
+    values, vectors = np.linalg.eigh(cov)
+    vectors = vectors[:, ::-1].conj().T  # rows v with x = sum of (x . conj(v)) v
+    largest = vectors[np.arange(length), np.abs(vectors).argmax(axis=1)]
+    vectors = vectors * (np.abs(largest) / np.where(largest == 0, 1, largest))[:, None]
+    return vectors[:count], values[::-1][:count], mean
+
+
+def complex_scores(series: DataFrame, components: np.ndarray, mean: np.ndarray) -> DataFrame:
+    """series_id with s_re and s_im, the coordinates of complex series (re, im) along components."""
+
+    def score(re: np.ndarray, im: np.ndarray) -> np.ndarray:
+        s = (re + 1j * im - mean) @ components.conj().T
+        return np.column_stack([s.real, s.imag])
+
+    k = len(components)
+    both = series.select("series_id", K.by_batch(score, F.col("re"), F.col("im")).alias("s"))
+    return both.select("series_id", F.slice("s", 1, k).alias("s_re"), F.slice("s", k + 1, k).alias("s_im"))
+
+
+def complex_restored(scores: DataFrame, components: np.ndarray, mean: np.ndarray) -> DataFrame:
+    """series_id, re and im of the complex series that scores (s_re, s_im) stand for: complex_scores() backwards, exact with all components."""
+
+    def restore(re: np.ndarray, im: np.ndarray) -> np.ndarray:
+        x = (re + 1j * im) @ components + mean
+        return np.column_stack([x.real, x.imag])
+
+    n = len(mean)
+    both = scores.select("series_id", K.by_batch(restore, F.col("s_re"), F.col("s_im")).alias("x"))
+    return both.select("series_id", F.slice("x", 1, n).alias("re"), F.slice("x", n + 1, n).alias("im"))
+
+
 def independent_rotation(components: np.ndarray, rounds: int = 200, seed: int = 0) -> np.ndarray:
     """Independent time courses from principal ones (few rows of one series' length): symmetric fixed-point iteration with tanh."""
     x = components - components.mean(axis=1, keepdims=True)

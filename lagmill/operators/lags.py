@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagmill.functions import kernels as K
 from lagmill.functions import series as S
 
 
@@ -32,6 +33,12 @@ def correlograms(series: DataFrame, ref: DataFrame, most: int, window: str | Non
     return both.select(*series.columns, S.cross_correlation(F.col("prepared"), F.col("ref"), most).alias("corr"))
 
 
+def aliased_correlograms(rows: DataFrame, lo: str, hi: str, steps: int, offset: str, most: int) -> DataFrame:
+    """rows with corr: correlogram at lags -most..most, at the finer rate, of a series lo sampled at every steps-th place from offset on with a series
+    hi that has all places; null where lo's length doesn't fit. Row-local, in Arrow batches; the rows' hi have one length."""
+    return rows.withColumn("corr", K.by_batch(K.aliased_correlation(steps, most), F.col(lo), F.col(hi), F.col(offset)))
+
+
 def best_lags(corr: DataFrame, most: int, digits: int = 9) -> DataFrame:
     """Per series the lag of the largest correlation (first after rounding to digits), its strength, the parabolic shift and refined lag
     and strength; at the edges there is no shift."""

@@ -1,7 +1,8 @@
 """Exact order statistics, histograms and ranks of large columns.
 
 Values are counted in bins of equal width first; the few bins in which a wanted rank falls are then ranked exactly. Counts merge before
-they are shuffled, windows run over bins or over one bin's rows, so a group of any size is spread over many tasks.
+they are shuffled, and so do equal values; windows run over bins or over the different values of one bin, so a group of any size is spread
+over many tasks, unless most of its different values lie in one of its bins, as a far outlier makes them.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Column)
     wanted = counts.withColumn("rank", F.explode(F.array_distinct(ranks))).where("rank < _to and rank >= _to - _n")
     wanted = wanted.select(*keys, "_bin", "rank", (F.col("rank") - F.col("_to") + F.col("_n") + 1).alias("_k"))
     cells = rows.join(wanted.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi")
-    placed = cells.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(value)))
-    return placed.join(wanted, [*keys, "_bin", "_k"]).select(*keys, "rank", value)
+    # equal values are one row with a count before they meet: ties, however many, are no hot bin
+    tied = cells.groupBy(*keys, "_bin", value).agg(F.count(F.lit(1)).alias("_t"))
+    placed = tied.withColumn("_upto", F.sum("_t").over(Window.partitionBy(*keys, "_bin").orderBy(value)))
+    found = placed.join(wanted, [*keys, "_bin"]).where("_k <= _upto and _k > _upto - _t")
+    return found.select(*keys, "rank", value)
 
 
 def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

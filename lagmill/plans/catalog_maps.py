@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lagmill.operators import candidates, lags, optical, partition, streamlines
-from lagmill.plans.catalog import CORRELOGRAM, GRID, MOST_LAG, ORACLE_SQL, correlogram_rows, grid_map, query, rounded, rounds
+from lagmill.functions import series as S
+from lagmill.operators import candidates, decomposition, distributions, lags, optical, partition, streamlines
+from lagmill.plans.catalog import CORRELOGRAM, GRID, SAMPLES, MOST_LAG, ORACLE_SQL, correlogram_rows, grid_map, query, rounded, rounds
 from lagmill.plans.catalog_flow import TOUCH
 from lagmill.sources import volume_source
-from lagmill.sources.tables import materialize, new_path, remove
+from lagmill.sources.tables import embedding_series, materialize, new_path, remove
 
 
 def candidate_cells(spark, sf_dir):
@@ -175,3 +176,59 @@ def regions_grown(spark, sf_dir):
     """The grid parted into twelve connected regions of like size."""
     cells = grid_map(spark, sf_dir).select(F.col("series_id").alias("id"), "x", "y", "z")
     return partition.grown_regions(cells, 12, 7, 2.0).withColumnRenamed("id", "series_id")
+
+
+SHARES = (0.5, 0.9, 0.95, 0.99)
+
+
+@query(f"""
+WITH v AS (SELECT c.lag, abs(c.r) AS r FROM ({ORACLE_SQL["lagged_xcorr_full"]}) c),
+o AS (SELECT lag, r, row_number() OVER (PARTITION BY lag ORDER BY r) - 1 AS k, count(*) OVER (PARTITION BY lag) AS n FROM v),
+q AS (SELECT lag, {", ".join(f"max(r) FILTER (k = least(round_even({distributions._share(f * distributions.DEVIATE)!r}::DOUBLE * n, 0)::BIGINT, n - 1)) AS {a}" for a, f in (("a", -3), ("b", -1), ("c", 1), ("d", 3)))},
+  {", ".join(f"max(r) FILTER (k = least(round_even({s}::DOUBLE * n, 0)::BIGINT, n - 1)) AS s{i}" for i, s in enumerate(SHARES))} FROM o GROUP BY lag),
+w AS (SELECT *, (d - c > 0 AND b - a > 0 AND (d - c) * (b - a) < (c - b) ** 2) AS ok, CASE WHEN ok THEN (c - b) / (d - c) END AS u, CASE WHEN ok THEN (c - b) / (b - a) END AS l, (1 + u) * (1 + l) AS bo, u * l - 1 AS ov FROM q),
+f AS (SELECT *, {distributions.DEVIATE!r}::DOUBLE / acosh(sqrt(bo) / 2) AS delta, delta * asinh((l - u) * sqrt(bo - 4) / (2 * ov)) AS gamma, (c - b) * sqrt((bo - 2) ** 2 - 4) / ov AS lam,
+  (b + c) / 2 - lam / 2 + (c - b) * (l - u) / (2 * ov) AS xi FROM w)
+SELECT lag, share, {rounds("from_data", "from_fit")} FROM (
+  {" UNION ALL ".join(f"SELECT lag, {s}::DOUBLE AS share, s{i} AS from_data, xi + lam / (1 + exp((gamma - {distributions.NormalDist().inv_cdf(s)!r}::DOUBLE) / delta)) AS from_fit FROM f" for i, s in enumerate(SHARES))})""")
+def correlation_thresholds(spark, sf_dir):
+    """At every lag, thresholds of the correlations' sizes from a fitted bounded distribution beside those of the data."""
+    rows = rounded(correlogram_rows(spark, sf_dir).select("series_id", F.posexplode("corr").alias("i", "r")))
+    values = rows.select((F.col("i") - MOST_LAG).alias("lag"), F.abs("r").alias("r"))
+    return rounded(distributions.thresholds(values, ["lag"], "r", list(SHARES)))
+
+
+def _normal(name: str, source: str, keys: str) -> str:
+    """Rows (keys, t, v, n) of source as normalised for correlation: line taken off, scaled, Hamming window, scaled, over the root of the length."""
+    return f"""{name}1 AS (SELECT *, v - regr_intercept(v, t) OVER w - regr_slope(v, t) OVER w * t AS d FROM {source} WINDOW w AS (PARTITION BY {keys})),
+{name}2 AS (SELECT *, (d - avg(d) OVER w) / stddev_pop(d) OVER w * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * t / n)) AS h FROM {name}1 WINDOW w AS (PARTITION BY {keys})),
+{name} AS (SELECT {keys}, t, (h - avg(h) OVER w) / stddev_pop(h) OVER w / sqrt(n) AS z FROM {name}2 WINDOW w AS (PARTITION BY {keys}))"""
+
+
+@query(f"""
+WITH {SAMPLES}, m AS (SELECT 0 AS one, t, avg(v) AS v, 64 AS n FROM s GROUP BY t), o AS (SELECT series_id, t, CASE WHEN t % 4 = series_id % 4 THEN v ELSE 0 END AS v, 64 AS n FROM s),
+{_normal("x", "o", "series_id")}, {_normal("y", "m", "one")}
+SELECT series_id, (x.t - y.t)::INT AS lag, round(sum(x.z * y.z) * 2, 6) + 0.0 AS r FROM x JOIN y ON x.t - y.t BETWEEN -{MOST_LAG} AND {MOST_LAG} GROUP BY 1, 2""")
+def aliased_correlograms(spark, sf_dir):
+    """Correlograms of series of which every fourth sample is known, from an offset of their own on, with the mean series at the full rate."""
+    series = embedding_series(spark, sf_dir)
+    rows = lags.with_reference(series, lags.reference_series(series))
+    rows = rows.withColumn("offset", (F.col("series_id") % 4).cast("int"))
+    rows = rows.withColumn("lo", F.filter("values", lambda v, t: F.pmod(t, F.lit(4)) == F.col("offset")))
+    rows = lags.aliased_correlograms(rows, "lo", "ref", 4, "offset", MOST_LAG)
+    return rounded(rows.select("series_id", F.posexplode("corr").alias("i", "r")).select("series_id", (F.col("i") - MOST_LAG).alias("lag"), "r"))
+
+
+@query(f"""
+WITH c AS (SELECT vec_id AS series_id, unnest(range(0, 32)) AS t, unnest(embedding[1:32])::DOUBLE AS re, unnest(embedding[33:64])::DOUBLE AS im FROM embeddings),
+d AS (SELECT series_id, t, re - avg(re) OVER w AS re, im - avg(im) OVER w AS im FROM c WINDOW w AS (PARTITION BY t)),
+k AS (SELECT a.t AS i, b.t AS j, avg(a.re * b.re + a.im * b.im) AS p, avg(a.re * b.im - a.im * b.re) AS q FROM d a JOIN d b USING (series_id) GROUP BY 1, 2)
+SELECT d.series_id, {rounds("sum(re * re + im * im) AS energy", "any_value(z.total) AS total", "any_value(z.squares) AS squares")}
+FROM d, (SELECT sum(p) FILTER (i = j) AS total, sum(p * p + q * q) AS squares FROM k) z GROUP BY d.series_id""")
+def complex_principal_components(spark, sf_dir):
+    """Halves of the series as real and imaginary parts: the energy of each one's scores, the sum of the variances and that of their squares."""
+    s = embedding_series(spark, sf_dir).select("series_id", F.slice("values", 1, 32).alias("re"), F.slice("values", 33, 32).alias("im"))
+    components, variances, mean = decomposition.complex_components(s, 32, 32)
+    scores = decomposition.complex_scores(s, components, mean)
+    energy = S.total(S.product(F.col("s_re"), F.col("s_re"))) + S.total(S.product(F.col("s_im"), F.col("s_im")))
+    return rounded(scores.select("series_id", energy.alias("energy"), F.lit(float(variances.sum())).alias("total"), F.lit(float((variances**2).sum())).alias("squares")))
