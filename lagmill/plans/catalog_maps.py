@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagmill.functions import series as S
-from lagmill.operators import candidates, decomposition, distributions, lags, optical, partition, streamlines
+from lagmill.operators import candidates, cardiac, decomposition, distributions, lags, optical, partition, streamlines
 from lagmill.plans.catalog import CORRELOGRAM, GRID, SAMPLES, MOST_LAG, ORACLE_SQL, correlogram_rows, grid_map, query, rounded, rounds
 from lagmill.plans.catalog_flow import TOUCH
 from lagmill.sources import volume_source
@@ -232,3 +232,15 @@ def complex_principal_components(spark, sf_dir):
     scores = decomposition.complex_scores(s, components, mean)
     energy = S.total(S.product(F.col("s_re"), F.col("s_re"))) + S.total(S.product(F.col("s_im"), F.col("s_im")))
     return rounded(scores.select("series_id", energy.alias("energy"), F.lit(float(variances.sum())).alias("total"), F.lit(float((variances**2).sum())).alias("squares")))
+
+
+@query(f"""
+WITH {GRID}, s AS (SELECT z, unnest(range(0, 64)) AS k, a * unnest(embedding)::DOUBLE AS v FROM g WHERE a <> 0), m AS (SELECT z, k, avg(v) AS v FROM s GROUP BY 1, 2),
+c AS (SELECT z, k, v - median(v) OVER (PARTITION BY z) AS v FROM m), n AS (SELECT z, k, v / (median(abs(v)) OVER (PARTITION BY z) / {S.MAD_SCALE!r}::DOUBLE) AS v FROM c),
+p AS (SELECT z * 3 % 4 + 4 * k AS t, -sum(v) AS v FROM n GROUP BY 1), f AS (SELECT t, coalesce(v, 0) AS v FROM range(0, 256) r(t) LEFT JOIN p USING (t))
+SELECT t::INT AS t, {rounds("v - avg(v) OVER (PARTITION BY t % 4) AS v", "avg(v) OVER (PARTITION BY t % 4) AS cycle")} FROM f""")
+def slice_waveform(spark, sf_dir):
+    """The grid's planes as slices taken at four times of a cycle: the waveform they make together."""
+    rows = grid_map(spark, sf_dir).select(F.col("z").alias("slice"), F.get("values", F.lit(0)).alias("weight"), "values")
+    offsets = rows.select("slice").distinct().withColumn("offset", F.col("slice") * 3 % 4)
+    return rounded(cardiac.slice_waveform(rows, offsets, 4))
