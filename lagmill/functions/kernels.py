@@ -25,15 +25,16 @@ def by_batch(kernel: Callable[..., np.ndarray], *columns: Column, returns: str =
 
     @pandas_udf(returns)
     def run(*parts: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(parts[0]), dtype=object)
+        out = [None] * len(parts[0])
         length = parts[0].map(lambda a: -1 if a is None else len(a))
         for n in length.unique():
             if n > 0:
                 at = np.flatnonzero(length == n)
                 got = kernel(*(np.stack(p.iloc[at].to_numpy()).astype(np.float64) if p.dtype == object else p.to_numpy(np.float64)[at] for p in parts))
                 for i, row in zip(at, got, strict=True):
-                    out.iat[i] = row
-        return out.astype("float64") if returns == "double" else out
+                    out[i] = row
+        found = pd.Series(out, dtype=object)
+        return found.astype("float64") if returns == "double" else found
 
     return run(*columns)
 
