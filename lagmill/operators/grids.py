@@ -26,12 +26,13 @@ def offsets(radius: float, center: bool = False, sizes: tuple[float, float, floa
 
 def neighbors(grid: DataFrame, radius: float, keys: tuple[str, ...] = (), center: bool = False, sizes: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Every cell's columns beside those of its neighbours within radius, named n_<column>, and distance. The range condition becomes an
-    equality join: a cell names the places around it, of which there are as many as the radius holds, and they are looked up."""
+    equality join: a cell names the places around it, of which there are as many as the radius holds, and they are looked up. The grid is not sent to all tasks,
+    however small its files: written with compression, ids and places take some bytes a row, and fifty times that in memory, on the driver too."""
     steps = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(o, ("dx", "dy", "dz", "distance"), strict=True))) for o in offsets(radius, center, sizes)))
     places = grid.select("*", F.explode(steps).alias("_o"))
     places = places.select("*", *((F.col(a) + F.col(f"_o.d{a}")).alias(f"n_{a}") for a in AXES), F.col("_o.distance").alias("distance")).drop("_o")
     other = grid.select(*(F.col(c).alias(c if c in keys else f"n_{c}") for c in grid.columns))
-    return places.join(other, [*keys, *(f"n_{a}" for a in AXES)])
+    return places.join(other.hint("merge"), [*keys, *(f"n_{a}" for a in AXES)])
 
 
 def gaussian_smooth(grid: DataFrame, value: str, sigma: float, keys: tuple[str, ...] = (), cut: float = 3.0) -> DataFrame:
