@@ -25,6 +25,9 @@ from lagmill.sources.tables import discard, materialize
 FIT = ("lag", "strength", "width", "flags")
 #: Outside a window a correlogram is cut off this far under the largest value inside.
 UNDER = 1e-9
+#: Rows of a table of cells that is sent to all tasks, at most. A larger one meets the series in a shuffle: its files are small, but it grows with the series
+#: and each pass would bring several to the driver.
+MOST_SENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -73,6 +76,11 @@ def _numbers(rows: DataFrame, column: str, *names: str) -> DataFrame:
     return rows.select(*names, *kinds)
 
 
+def _beside(cells: DataFrame) -> DataFrame:
+    """cells, of a written table, as the right side of a join with the series."""
+    return F.broadcast(cells) if cells.limit(MOST_SENT + 1).count() <= MOST_SENT else cells.hint("merge")
+
+
 def lag_fits(series: DataFrame, ref: np.ndarray, peaks: Peaks) -> DataFrame:
     """series_id, lag, strength, width, flags of every series against the reference."""
     return _numbers(series.select("series_id", K.by_batch(peaks.kernel(ref), F.col("values")).alias("_k")), "_k", "series_id")
@@ -94,21 +102,21 @@ def despeckled(series: DataFrame, cells: DataFrame, fits: DataFrame, ref: np.nda
     """fits with x, y, z and refit. A cell (cells: series_id, x, y, z) without a good fit, or whose lag differs by more than most_off from the median lag of
     the good fits around it (its own included), is fitted again within most_off of that median; a good fit replaces the old one. At most `rounds`
     times, or until nothing changes. Only those cells' series are read."""
-    now = fits.join(cells.select("series_id", "x", "y", "z"), "series_id").withColumn("refit", F.lit(False))
+    now = fits.join(cells.select("series_id", "x", "y", "z").hint("merge"), "series_id").withColumn("refit", F.lit(False))
     now = materialize(now, "lag-cells")
     for _ in range(rounds):
         near = grids.neighbors(now.select("series_id", "x", "y", "z", "lag", "flags"), radius, center=True).where("n_flags = 0")
         median = near.groupBy("series_id").agg(F.median("n_lag").alias("median"))
-        off = now.join(median, "series_id").where((F.col("flags") != 0) | (F.abs(F.col("lag") - F.col("median")) > most_off)).select("series_id", "median")
+        off = now.join(median.hint("merge"), "series_id").where((F.col("flags") != 0) | (F.abs(F.col("lag") - F.col("median")) > most_off)).select("series_id", "median")
         off = materialize(off, "lag-speckles")
-        again = series.select("series_id", "values").join(off, "series_id")
+        again = series.select("series_id", "values").join(_beside(off), "series_id")
         again = again.select("series_id", K.by_batch(peaks.kernel(ref, most_off), F.col("values"), F.col("median")).alias("_k"))
         again = materialize(_numbers(again, "_k", "series_id").where("flags = 0"), "lag-again")
         changed = not again.isEmpty()
         if changed:
             renamed = again.select("series_id", *(F.col(c).alias(f"_{c}") for c in FIT))
             taken = [F.coalesce(f"_{c}", c).alias(c) for c in FIT]
-            new = now.join(renamed, "series_id", "left").select("series_id", *taken, "x", "y", "z", (F.col("refit") | F.col("_lag").isNotNull()).alias("refit"))
+            new = now.join(renamed.hint("merge"), "series_id", "left").select("series_id", *taken, "x", "y", "z", (F.col("refit") | F.col("_lag").isNotNull()).alias("refit"))
             new = materialize(new, "lag-cells")
             discard(now)
             now = new
@@ -131,7 +139,7 @@ def placed(series: DataFrame, ref: np.ndarray, peaks: Peaks, moved: DataFrame |
     if moved is None:
         rows = rows.select("*", *(F.lit(None).cast("double").alias(f"_{c}") for c in FIT))
     else:
-        rows = rows.join(moved.select("series_id", *(F.col(c).cast("double").alias(f"_{c}") for c in FIT)), "series_id", "left")
+        rows = rows.join(_beside(moved.select("series_id", *(F.col(c).cast("double").alias(f"_{c}") for c in FIT))), "series_id", "left")
     rows = rows.select("series_id", K.by_batch(run, F.col("values"), *(F.col(f"_{c}") for c in FIT)).alias("_k"))
     return _numbers(rows.where("_k is not null"), "_k", "series_id", F.expr(f"slice(_k, {len(FIT) + 1}, size(_k) - {len(FIT)})").alias(name))
 
