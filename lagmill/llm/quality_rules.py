@@ -112,24 +112,31 @@ def _group_quantile(rows: DataFrame, keys: list[str], value: Column, share: floa
 
 
 def _whitened(estimate: DataFrame) -> DataFrame:
-    """The estimate (grp, start, n, parent, depth, m_i, c_i_j) with w_i_j, the inverse of its covariance's Cholesky factor, and logdet, the covariance's
-    log-determinant, instead of c_i_j. Column by column, on one row a group."""
+    """The estimate (grp, start, n, parent, depth, numbers: means, then covariances by row) with m_i, w_i_j, the inverse of its covariance's Cholesky
+    factor, and logdet, the covariance's log-determinant, instead of numbers. Folds over the cells of the factor, on one row a group: written
+    out, its hundred terms would be planned and compiled in every step, in the driver's memory."""
     d = len(VECTOR)
-    for i in range(d):
-        for j in range(i + 1):
-            rest = F.col(f"c_{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            estimate = estimate.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    for i in range(d):
-        for j in range(i):
-            dot = F.lit(0.0)
-            for k in range(j, i):
-                dot = dot + F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}")
-            estimate = estimate.withColumn(f"w_{i}_{j}", -dot / F.col(f"l_{i}_{i}"))
-        estimate = estimate.withColumn(f"w_{i}_{i}", 1 / F.col(f"l_{i}_{i}"))
-    logdet = sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(d)), F.lit(0.0))
-    return estimate.select("grp", "start", "n", "parent", "depth", logdet.alias("logdet"), *(f"m_{i}" for i in range(d)), *(f"w_{i}_{j}" for i in range(d) for j in range(i + 1)))
+    cells = [(i, j) for i in range(d) for j in range(i + 1)]
+    grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in cells))
+    upto = F.array(*map(F.lit, range(d)))
+    at = lambda m, i, j: F.get(m, (i * (i + 1) / 2).cast("int") + j)
+    none = F.array().cast("array<double>")
+
+    def factor(l, x):
+        i, j = x["i"], x["j"]
+        rest = F.aggregate(F.slice(upto, F.lit(1), j), at(F.slice("numbers", d + 1, len(cells)), i, j), lambda r, k: r - at(l, i, k) * at(l, j, k))
+        return F.concat(l, F.array(F.when(i == j, F.sqrt(F.greatest(rest, F.lit(1e-12)))).otherwise(rest / at(l, j, j))))
+
+    def inverse(w, x):
+        i, j = x["i"], x["j"]
+        dot = F.aggregate(F.slice(upto, j + 1, i - j), F.lit(0.0), lambda r, k: r + at(F.col("l"), i, k) * at(w, k, j))
+        return F.concat(w, F.array(F.when(i == j, 1 / at(F.col("l"), i, i)).otherwise(-dot / at(F.col("l"), i, i))))
+
+    keys = ["grp", "start", "n", "parent", "depth"]
+    rows = estimate.select(*keys, "numbers", F.aggregate(grid, none, factor).alias("l"))
+    logdet = F.aggregate(upto, F.lit(0.0), lambda r, i: r + 2 * F.log(at(F.col("l"), i, i)))
+    rows = rows.select(*keys, "numbers", logdet.alias("logdet"), F.aggregate(grid, none, inverse).alias("w"))
+    return rows.select(*keys, "logdet", *(F.get("numbers", F.lit(i)).alias(f"m_{i}") for i in range(d)), *(F.get("w", F.lit(k)).alias(f"w_{i}_{j}") for k, (i, j) in enumerate(cells)))
 
 
 def _numbers() -> list[str]:
@@ -137,24 +144,23 @@ def _numbers() -> list[str]:
     return [*(f"m_{i}" for i in range(d)), *(f"c_{i}_{j}" for i in range(d) for j in range(i + 1))]
 
 
-def _shrunk(own: DataFrame, wider: DataFrame, on: list[str], names: list[str]) -> DataFrame:
-    """own with its numbers moved towards those of the wider estimate: n**2 / (n**2 + SHRINK**2) of its own. The squares let large groups go:
-    the wider estimate holds the spread between groups, which would widen theirs for ever."""
-    n = F.col("n").cast("double")
-    w = n * n / (n * n + SHRINK**2)
-    other = wider.select(*on, *(F.col(c).alias(f"p_{c}") for c in names))
-    rest = [c for c in own.columns if c not in names]
-    return own.join(other, on).select(*rest, *((w * F.col(c) + (1 - w) * F.col(f"p_{c}")).alias(c) for c in names))
+def _blended(raw: DataFrame, base: DataFrame) -> DataFrame:
+    """Every group's numbers (an array) moved towards those of its parent, from the table down; the table's towards those of base: n**2 / (n**2 + SHRINK**2)
+    of its own. The squares let large groups go: the wider estimate holds the spread between groups, which would widen theirs for ever.
+    The tables have one row per group and start; a group's parent and the table are looked up beside it, as the tree has three levels."""
 
+    def shrunk(n: Column, own: Column, wider: Column) -> Column:
+        n = n.cast("double")
+        w = n * n / (n * n + SHRINK**2)
+        return F.zip_with(own, wider, lambda a, b: w * a + (1 - w) * b)
 
-def _blended(raw: DataFrame, base: DataFrame, names: list[str], on: list[str]) -> DataFrame:
-    """Every group's numbers shrunk towards its parent's, from the table down; the table's towards those of base. The tables have
-    one row per group (and start)."""
-    top = _shrunk(raw.where("depth = 0"), base, on, names)
-    rename = lambda df: df.withColumn("parent", F.col("grp"))
-    mid = _shrunk(raw.where("depth = 1"), rename(top), ["parent", *on], names)
-    low = _shrunk(raw.where("depth = 2"), rename(mid), ["parent", *on], names)
-    return top.unionByName(mid).unionByName(low)
+    named = lambda df, p: df.select("start", F.col("grp").alias("parent"), F.col("n").alias(f"{p}_n"), F.col("numbers").alias(f"{p}_numbers"))
+    rows = raw.join(base.select("start", F.col("numbers").alias("b_numbers")), "start")
+    rows = rows.join(named(raw.where("depth = 0"), "t").drop("parent"), "start").join(named(raw.where("depth = 1"), "p"), ["parent", "start"], "left")
+    rows = rows.withColumn("top", shrunk(F.col("t_n"), F.col("t_numbers"), F.col("b_numbers")))
+    wider = F.when(F.col("depth") == 1, F.col("top")).otherwise(shrunk(F.col("p_n"), F.col("p_numbers"), F.col("top")))
+    numbers = F.when(F.col("depth") == 0, F.col("top")).otherwise(shrunk(F.col("n"), F.col("numbers"), wider))
+    return rows.select("grp", "start", "n", "parent", "depth", numbers.alias("numbers"))
 
 
 def _distance(names: list[str]) -> Column:
@@ -188,7 +194,8 @@ def _starts(rows: DataFrame, names: list[str]) -> DataFrame:
     pick = lambda i, c: F.max(F.when(F.col("dim") == i, F.col(c)))
     zero = [F.lit(0.0).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i)]
     robust = q.groupBy("grp").agg(*(pick(i, "mid").alias(f"m_{i}") for i in range(len(names))), *(pick(i, "var").alias(f"c_{i}_{i}") for i in range(len(names))))
-    robust = robust.select("grp", F.lit(0).alias("start"), "*", *zero).select("grp", "start", *_numbers())
+    robust = robust.select("grp", F.lit(0).alias("start"), "*", *zero)
+    robust = robust.select("grp", "start", F.array(*_numbers()).alias("numbers"))
     return robust.unionByName(_moments(rows.withColumn("start", F.lit(1)), names))
 
 
@@ -196,7 +203,8 @@ def _moments(rows: DataFrame, names: list[str]) -> DataFrame:
     """Means and covariances of each grp and start; the least standard deviations are added to the variances."""
     covar = lambda i, a, j, b: (F.covar_pop(a, b) + (VECTOR[a] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}")
     cells = [covar(i, a, j, b) for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])]
-    return rows.groupBy("grp", "start").agg(*(F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)), *cells)
+    found = rows.groupBy("grp", "start").agg(*(F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)), *cells)
+    return found.select("grp", "start", F.array(*_numbers()).alias("numbers"))
 
 
 def robust_estimates(rows: DataFrame, tree: DataFrame) -> DataFrame:
@@ -215,14 +223,14 @@ def robust_estimates(rows: DataFrame, tree: DataFrame) -> DataFrame:
     small = F.broadcast if known is not tree else lambda df: df  # tables of one row per group, or two
     rows = rows.select(F.explode(F.array_compact(F.array("own", "whole", F.lit(TABLE)))).alias("grp"), *names)
     raw = materialize(_starts(rows, names).join(known, "grp"), "mcd")
-    base = raw.where("depth = 0 and start = 0").drop("start").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))).select("start", *_numbers())
+    base = raw.where("depth = 0 and start = 0").drop("start").withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))).select("start", "numbers")
     base = materialize(base, "mcd-base", 1)  # two rows
-    current = materialize(_whitened(_blended(raw, base, _numbers(), ["start"])), "mcd")
+    current = materialize(_whitened(_blended(raw, base)), "mcd")
     for step in range(MOST_STEPS):
         placed = rows.join(small(current), "grp").withColumn("logd", _log_distance(names)).select(*key, *names, "logd")
         edge = _group_quantile(placed, key, F.col("logd"), CORE, "edge")
         raw = materialize(_moments(placed.join(small(edge), key).where("logd <= edge"), names).join(known, "grp"), "mcd")
-        new = materialize(_whitened(_blended(raw, base, _numbers(), ["start"])), "mcd")
+        new = materialize(_whitened(_blended(raw, base)), "mcd")
         fall = current.select(*key, F.col("logdet").alias("before")).join(new, key).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
         discard(current, raw)
         current = new
@@ -233,9 +241,9 @@ def robust_estimates(rows: DataFrame, tree: DataFrame) -> DataFrame:
     best = materialize(current.join(best, key).drop("start"), "mcd")
     placed = rows.join(small(best), "grp").withColumn("logd", _log_distance(names)).select("grp", "logd")
     spread = _group_quantile(placed, ["grp"], F.col("logd"), 0.5, "mid").join(_group_quantile(placed, ["grp"], F.col("logd"), 0.75, "high"), "grp")
-    spread = materialize(spread.join(known, "grp").withColumn("one", F.lit(1)), "mcd-spread")
-    normal = spread.where("depth = 0").select("one", F.lit(log(CHI2_MEDIAN)).alias("mid"), F.lit(log(CHI2_HIGH)).alias("high"))
-    spread = _blended(spread, normal, ["mid", "high"], ["one"])
+    spread = materialize(spread.join(known, "grp").select(*known.columns, F.lit(1).alias("start"), F.array("mid", "high").alias("numbers")), "mcd-spread")
+    normal = spread.where("depth = 0").select("start", F.array(F.lit(log(CHI2_MEDIAN)), F.lit(log(CHI2_HIGH))).alias("numbers"))
+    spread = _blended(spread, normal).select("grp", F.get("numbers", F.lit(0)).alias("mid"), F.get("numbers", F.lit(1)).alias("high"))
     # A scale under 1 would widen the cut of groups that the least deviations already keep tight.
     scale = F.greatest(F.exp("mid") / CHI2_MEDIAN, F.lit(1.0))
     cuts = spread.withColumn("scale", scale).withColumn("q", F.exp("high") / F.col("scale"))
